@@ -1,0 +1,89 @@
+"""Visibility and retention against step-by-step models."""
+
+import random
+
+import pytest
+
+from versionlog.operators import visible
+from versionlog.operators.retention import merge_run, pick_run, retained
+
+LOG = "key string, seq long, value string"
+
+
+def model_live(rows, bound=None):
+    out = {}
+    for key, seq, value in sorted(rows, key=lambda r: r[1]):
+        if bound is None or seq < bound:
+            out[key] = value
+    return {k: v for k, v in out.items() if v is not None}
+
+
+def model_retained(rows, horizon, drop):
+    kept = []
+    for key in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: -r[1])
+        out, below = [], False
+        for r in mine:
+            if horizon is not None and r[1] >= horizon:
+                out.append(r)
+            elif not below:
+                out.append(r)
+                below = True
+        while drop and out and out[-1][2] is None:
+            out.pop()
+        kept += out
+    return sorted(kept)
+
+
+def random_log(seed):
+    r = random.Random(seed)
+    return [(f"k{r.randrange(5)}", i, None if r.random() < 0.35 else f"v{i}") for i in range(r.randrange(1, 25))]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_retained_matches_model(spark, seed):
+    rows = random_log(seed)
+    log = spark.createDataFrame(rows, LOG)
+    for horizon in (None, 0, 7, 100):
+        for drop in (False, True):
+            got = sorted(tuple(r) for r in retained(log, horizon, drop).select("key", "seq", "value").collect())
+            assert got == model_retained(rows, horizon, drop), (horizon, drop)
+
+
+def test_live_scan_get_and_limits(spark):
+    rows = random_log(99) + [("", 100, "empty key"), ("k", 101, ""), ("gone", 102, None)]
+    log = spark.createDataFrame(rows, LOG)
+    for bound in (None, 0, 9, 101):
+        want = model_live(rows, bound)
+        assert {r.key: r.value for r in visible.live(log, bound).collect()} == want
+        assert [r.key for r in visible.scan(log, "", "k3", None, bound).collect()] == sorted(k for k in want if k < "k3")
+        assert [r.key for r in visible.scan(log, None, None, 2, bound).collect()] == sorted(want)[:2]
+    assert visible.scan(log, "k3", "k1").collect() == []
+    assert visible.scan(log, limit=0).collect() == []
+    assert visible.get(log, "gone").collect() == []
+    assert visible.get(log, "k").first().value == ""
+    with pytest.raises(ValueError):
+        visible.scan(log, limit=-1)
+
+
+def test_as_of_and_multi_get(spark):
+    rows = random_log(5)
+    log = spark.createDataFrame(rows, LOG)
+    probes = spark.createDataFrame([("k1", 3), ("k1", 3), ("k2", 12), ("none", 5)], "key string, bound long")
+    got = {(r.key, r.bound): r.value for r in visible.as_of(log, probes).collect()}
+    assert got == {(k, b): model_live(rows, b).get(k) for k, b in (("k1", 3), ("k2", 12), ("none", 5))}
+    wanted = spark.createDataFrame([("k1",), ("k1",), ("none",), (None,)], "w string")
+    assert {r.key: r.value for r in visible.multi_get(log, wanted).collect()} == {k: v for k, v in model_live(rows).items() if k == "k1"}
+
+
+def test_bytes_are_ordered_unsigned(spark):
+    log = spark.createDataFrame([(b"\x80", 0, b"a"), (b"\x7f", 1, b"b"), (b"a", 2, b"c"), (b"a\x00", 3, b"d")], "key binary, seq long, value binary")
+    assert [bytes(r.key) for r in visible.scan(log).collect()] == [b"a", b"a\x00", b"\x7f", b"\x80"]
+
+
+def test_pick_run_in_both_forms(spark):
+    for sizes in ([5, 6, 7, 4, 100, 100], [1, 1, 1], [0, 0, 0, 0], [9, 8, 15, 12, 10, 3], [64, 8, 8, 8, 8, 8]):
+        rows = [(i, n) for i, n in enumerate(sizes)]
+        found = merge_run(spark.createDataFrame(rows, "seg long, bytes long")).collect()
+        assert ([tuple(r) for r in found] or [None])[0] == pick_run(sizes, 4)
+    assert pick_run([], 4) is None
