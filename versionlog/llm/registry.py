@@ -7,17 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versionlog.llm import chat, decontaminate, packing, secrets, sharding, simhash, topk
+from versionlog.llm import chat, decontaminate, lines, packing, quality, secrets, sharding, simhash, suffixes, topk
 from versionlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the same vocabulary as byte_bpe_50k.json, as ranks
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer=packing.vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -30,6 +38,10 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.digest(found)
@@ -56,16 +68,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffixes": op1_suffixes,
     "op2_packing": op2_packing,
+    "op3_lines": op3_lines,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op6_topk": op6_topk,
+    "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
     "op9_chat": op9_chat,
     "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_lines": lines.ORACLE,
     "op6_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
