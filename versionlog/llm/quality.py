@@ -2,8 +2,9 @@
 
 The model is over the bytes of UTF-8 texts, of order 5 unless told otherwise, and is trained
 on all trusted text but a fifth of the trusted documents. That fifth (by a hash of the id)
-sets the thresholds: for each language the quantile of its perplexities. A document is
-rejected if its perplexity is above its language's threshold.
+sets the thresholds: for each language a quantile of its perplexities. A document is
+rejected if its perplexity is above its language's threshold; for this, a short text's
+perplexity is drawn towards the mean of its language.
 
 Counts are sharded by the two bytes before the last byte of an n-gram. An n-gram of order 5,
 its context, and the n-grams and contexts of orders 4 and 3 that it backs off to all hold
@@ -264,12 +265,25 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(total, schema)
 
 
-def thresholds(scored: DataFrame, quantile: float, margin: float) -> DataFrame:
-    """(lang, limit): ``quantile`` of the mean costs of each language, in steps of 1/1000 nat, plus ``margin``."""
-    bins = scored.where("n_bytes > 0").groupBy("lang", F.floor(F.col("cost") / F.col("n_bytes") / SCALE * 1000).alias("bin")).count()
-    by = Window.partitionBy("lang")  # a language has as many rows as steps: 32000 at most
+def _adjusted(prior_bytes: int) -> F.Column:
+    """Cost per byte in nats, as if ``prior_bytes`` of the language's mean cost were added.
+
+    A text of a few bytes says little, and this keeps it near the mean.
+    """
+    return (F.col("cost") / SCALE + F.lit(prior_bytes) * F.col("mean")) / (F.col("n_bytes") + F.lit(prior_bytes))
+
+
+def thresholds(scored: DataFrame, quantile: float, margin: float, prior_bytes: int) -> DataFrame:
+    """(lang, mean, limit): the mean cost of each language's texts, and ``quantile`` of their
+    adjusted costs, in steps of 1/1000 nat, plus ``margin``."""
+    scored = scored.where("n_bytes > 0")
+    means = scored.groupBy(F.col("lang").alias("__lang")).agg((F.sum("cost") / F.sum("n_bytes") / SCALE).alias("mean"))
+    means = F.broadcast(means)  # a row for each language
+    known = scored.join(means, F.col("lang").eqNullSafe(F.col("__lang")))
+    bins = known.groupBy("lang", "mean", F.floor(_adjusted(prior_bytes) * 1000).alias("bin")).count()
+    by = Window.partitionBy("lang", "mean")  # a language has as many rows as steps: 32000 at most
     bins = bins.withColumn("up", F.sum("count").over(by.orderBy("bin"))).withColumn("all", F.sum("count").over(by))
-    return bins.where(F.col("up") >= F.lit(quantile) * F.col("all")).groupBy("lang").agg(((F.min("bin") + 1) / 1000 + margin).alias("limit"))
+    return bins.where(F.col("up") >= F.lit(quantile) * F.col("all")).groupBy("lang", "mean").agg(((F.min("bin") + 1) / 1000 + margin).alias("limit"))
 
 
 def classify(
@@ -281,8 +295,9 @@ def classify(
     lang_col: str = "lang",
     label_col: str = "quality",
     order: int = 5,
-    quantile: float = 0.999,
+    quantile: float = 0.995,
     margin: float = 0.1,
+    prior_bytes: int = 200,
     held_out: int = 5,
     broadcast_rows: int = 1 << 20,
 ) -> DataFrame:
@@ -303,15 +318,16 @@ def classify(
     plain = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
     model = fit(among(plain, inner, "__id"), text_col="__text", order=order)
     scored = cut(score(docs, model, id_col=id_col, text_col=text_col, lang_col=lang_col))
-    limits = thresholds(among(scored, outer, "id"), quantile, margin)
+    limits = thresholds(among(scored, outer, "id"), quantile, margin, prior_bytes)
     marked = scored.join(F.broadcast(limits.withColumnRenamed("lang", "__lang")), F.col("lang").eqNullSafe(F.col("__lang")), "left")  # a row for each language
-    mean = F.when(F.col("n_bytes") > 0, F.col("cost") / F.col("n_bytes") / SCALE)
+    own = F.when(F.col("n_bytes") > 0, F.col("cost") / F.col("n_bytes") / SCALE)
+    judged = F.when(F.col("n_bytes") > 0, _adjusted(prior_bytes))
     return marked.select(
         F.col("id").alias(id_col),
         F.col("lang").alias(lang_col),
         "n_bytes",
-        F.exp(mean).alias("perplexity"),
+        F.exp(own).alias("perplexity"),
         F.exp("limit").alias("threshold"),
-        F.coalesce(mean > F.col("limit"), F.lit(False)).alias("rejected"),
+        F.coalesce(judged > F.col("limit"), F.lit(False)).alias("rejected"),
     )
 
