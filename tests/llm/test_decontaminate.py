@@ -1,0 +1,93 @@
+import hashlib
+import re
+
+import pytest
+
+from versionlog.llm import decontaminate
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words_of(text):
+    return WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def brute(docs, items, window=10):
+    wanted = {}
+    for item, text in items:
+        w = words_of(text)
+        if item is None or not w:
+            continue
+        n = min(window, len(w))
+        for i in range(len(w) - n + 1):
+            wanted.setdefault(tuple(w[i : i + n]), set()).add(str(item))
+    sizes = {len(k) for k in wanted}
+    out = []
+    for i, text in docs:
+        w, hit, found = words_of(text), set(), set()
+        for n in sizes:
+            for a in range(len(w) - n + 1):
+                names = wanted.get(tuple(w[a : a + n]))
+                if names:
+                    found |= names
+                    hit.update(range(a, a + n))
+        out.append((-1 if i is None else i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return sorted(out)
+
+
+def run(df, items, **options):
+    rows = decontaminate.digest(decontaminate.decontaminate(df, items, **options)).collect()
+    return sorted((-1 if r[0] is None else r[0], *r[1:]) for r in rows)
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}])
+def test_documents(spark, docs, options):
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    want = brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
+    assert any(w[-1] for w in want)
+    assert run(docs, items, **options) == want
+
+
+ITEMS = [
+    (1, "one two three four five six seven eight nine ten eleven twelve"),
+    (2, "One, two; THREE four five six seven eight nine ten!"),
+    (3, "short item"),
+    (4, "word"),
+    (5, None),
+    (6, " ?! "),
+    (7, "Ünïcödé wörds"),
+    (8, "to be or not to be to be or not to be to be or not"),
+    (None, "never counted as it has no id at all"),
+    (9, "short item"),
+]
+EXTRA = [
+    (20, "zero one two three four five six seven eight nine ten eleven"),
+    (21, "one two three four five six seven eight nine"),
+    (22, "a SHORT-item, and another short item"),
+    (23, "ünïcödé WÖRDS"),
+    (24, "x" * 200_000 + " one two three four five six seven eight nine ten"),
+]
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}, {"k": 1}, {"k": 10}])
+def test_odd_rows_and_short_items(spark, odd, options):
+    from tests.llm.conftest import ODD
+
+    df = odd.select("doc_id", "text", "row").unionByName(spark.createDataFrame(EXTRA, "doc_id long, text string").selectExpr("*", "'x' as row"))
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert run(df, items, **options) == brute(ODD + EXTRA, ITEMS)
+
+
+def test_empty_tables(spark, odd, nothing):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert run(nothing, items) == []
+    assert not any(r[-1] for r in run(odd, items.limit(0)))
+
+
+def test_every_shared_span_has_a_fingerprint():
+    import numpy as np
+
+    codes = decontaminate.mix64(np.arange(1000, dtype=np.uint64) % np.uint64(37))
+    marks = decontaminate.smallest(decontaminate.gram_hash(codes, 6), 5)
+    for a in range(0, 900, 37):
+        assert marks[a] == marks[a + 37]

@@ -175,13 +175,15 @@ def decontaminate(
     """
     if not 1 <= k <= window:
         raise ValueError("k must be from 1 to window")
-    kept = [c for c in dict.fromkeys((id_col, *keep)) if c != text_col or c in keep]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
+    kept = list(dict.fromkeys((id_col, *keep)))
+    columns = [F.col(f"`{c}`") for c in kept]
+    source = text_col if text_col in kept else "__text"  # a text that is kept is sent once
+    rows = docs.select(*columns, *([] if source in kept else [F.col(f"`{text_col}`").alias(source)]))
     items = pick(benchmark, item=item_col, words=item_text_col).where("words is not null and item is not null")
     items = items.select(F.col("item").cast("string").alias("item"), F.encode("words", "UTF-8").alias("words"))
     size = items.agg(F.coalesce(F.sum(F.length("words")), F.lit(0)).alias("n")).first()["n"]
     if size > broadcast_bytes:
-        return _by_join(rows, items, kept, window, k)
+        return _by_join(docs.select(*columns, F.col(f"`{text_col}`").alias("__text")), items, kept, window, k)
     prints = docs.sparkSession.sparkContext.broadcast(
         Fingerprints(window, k).add([(r["item"], bytes(r["words"])) for r in items.collect()])
     )
@@ -189,7 +191,7 @@ def decontaminate(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_hit, found = _measure(batch, "__text", prints.value)
+            n_words, n_hit, found = _measure(batch, source, prints.value)
             arrays = [batch.column(c) for c in kept]
             arrays += [pa.array(n_words), pa.array(n_hit), pa.array(found, type=pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "n_words", "n_hit", "items"])

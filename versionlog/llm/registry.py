@@ -67,6 +67,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(rows)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffixes": op1_suffixes,
     "op2_packing": op2_packing,
@@ -78,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_chat": op9_chat,
     "op10_secrets": op10_secrets,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
