@@ -88,7 +88,9 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffixes": suffixes.ORACLE,
     "op3_lines": lines.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
     "op6_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

@@ -272,3 +272,32 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(
         F.col(f"`{id_col}`"), "n_bytes", total.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+#: DuckDB SQL for the registered query, over the bytes in hexadecimal: every window is counted.
+ORACLE = f"""
+WITH d AS (
+    SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents
+), windows AS (
+    SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS code
+    FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - {LENGTH} + 1)) AS i FROM d WHERE len(h) >= {2 * LENGTH})
+), twice AS (
+    SELECT doc_id, i FROM windows SEMI JOIN (SELECT code FROM windows GROUP BY code HAVING count(*) > 1) USING (code)
+), steps AS (
+    SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS begins FROM twice
+), spans AS (
+    SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b
+    FROM (SELECT doc_id, i, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM steps) GROUP BY doc_id, span
+), gaps AS (
+    SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans
+    UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY doc_id
+), kept AS (
+    SELECT doc_id, string_agg(CASE WHEN b IS NULL THEN substr(h, 2 * a + 1) ELSE substr(h, 2 * a + 1, 2 * (b - a)) END, '' ORDER BY a) AS h
+    FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+), counts AS (
+    SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
