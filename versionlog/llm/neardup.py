@@ -70,8 +70,8 @@ def forests(prints: np.ndarray, rounds: int = 2, short: int = 12) -> np.ndarray:
         a, b = np.triu_indices(n, 1)
         near = np.bitwise_count(prints[a] ^ prints[b]) <= REACH
         return np.stack([a[near], b[near]], axis=1)
-    used: set[tuple[int, int]] = set()
-    found = []
+    used: dict[int, list[int]] = {}
+    found: list[tuple[int, int]] = []
     for _ in range(rounds):  # Prim's algorithm, a row of distances at a time
         best = np.full(n, 255, dtype=np.uint8)
         source = np.full(n, -1)
@@ -80,8 +80,7 @@ def forests(prints: np.ndarray, rounds: int = 2, short: int = 12) -> np.ndarray:
         for _ in range(n):
             left[node] = False
             gap = np.bitwise_count(prints ^ prints[node])
-            for other in (b for a, b in used if a == node) if len(found) else ():
-                gap[other] = 255
+            gap[used.get(node, [])] = 255
             better = left & (gap < best)
             best[better] = gap[better]
             source[better] = node
@@ -95,7 +94,9 @@ def forests(prints: np.ndarray, rounds: int = 2, short: int = 12) -> np.ndarray:
                 continue
             if best[node] <= REACH:
                 found.append((int(source[node]), node))
-        used = {p for a, b in found for p in ((a, b), (b, a))}
+        for a, b in found:
+            used.setdefault(a, []).append(b)
+            used.setdefault(b, []).append(a)
     return np.array(found, dtype=np.int64).reshape(-1, 2)
 
 
