@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versionlog.llm.common import extended, pick
+from versionlog.llm.common import cut, extended, pick
 from versionlog.llm.sharding import number_rows
 
 # Fixed value: the pattern by which byte-level BPE vocabularies of this kind split a text.
@@ -215,8 +215,9 @@ def pack(
     end_id: int = 0,
 ) -> DataFrame:
     """id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece."""
-    cut_ = pieces(docs, id_col=id_col, text_col=text_col, tokenizer=tokenizer, window=window, end_id=end_id)
-    numbered, _ = number_rows(cut_, "length", "id", "start", "ids_crc32", "doc_tokens")
+    # written once: finding the ranges would tokenize everything a second time
+    held = cut(pieces(docs, id_col=id_col, text_col=text_col, tokenizer=tokenizer, window=window, end_id=end_id))
+    numbered, _ = number_rows(held, "length", "id", "start", "ids_crc32", "doc_tokens")
     hist = np.zeros(window + 1, dtype=np.int64)
     for r in numbered.groupBy("length").count().collect():  # ``window`` rows at most
         hist[r["length"]] = r["count"]
