@@ -165,7 +165,8 @@ def top_k(
     keys = ("dim", "shard", "block")
 
     def searched(queries: DataFrame) -> DataFrame:
-        return cells.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_searcher(k), _FOUND)
+        asked = queries.toDF(*queries.columns)  # columns of its own: both sides come from one table
+        return cells.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_searcher(k), _FOUND)
 
     home = cut(searched(asked_rows.withColumn("floor", F.lit(None).cast("long"))))
     floors = home.groupBy("uid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
