@@ -3,9 +3,10 @@
 import duckdb
 import pytest
 
-from versionlog.plans.catalog import ORACLES, QUERIES
+from versionlog.plans import catalog, stored
 
 DATA = "/root/testdata/sf0.001"
+QUERIES, ORACLES = catalog.QUERIES | stored.QUERIES, catalog.ORACLES | stored.ORACLES
 
 
 @pytest.fixture(scope="module")
