@@ -88,7 +88,7 @@ def test_least_squares_solves_an_exact_mixture():
     assert x.round().tolist() == [30, 12, 0]
 
 
-TEXTS = ["", "<|endoftext|> is text", "it's  two   spaces \n\n tabs\t\tend ", "x" * 3000, "naïve café 你好世界 🙂🙂", "a b " * 70_000, "1234 5678,90", " lead", "trail "]
+TEXTS = ["", "<|endoftext|> is text", "it's  two   spaces \n\n tabs\t\tend ", "x" * 3000, "naïve café 你好世界 🙂🙂", "a b " * 70_000, "1234 5678,90", " lead", "trail ", "a" + " " * 5000 + "b c", "x" + "\n" * 9000 + "\ty" + " " * 4096]
 
 
 @pytest.mark.parametrize("text", TEXTS)
@@ -97,3 +97,7 @@ def test_ranks_and_json_give_the_same_ids(text):
     tokenizer.encode_special_tokens = True
     assert packing.encode(text, RANKS).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     assert packing.encode(text[:2000], JSON).tolist() == packing.encode(text[:2000], RANKS).tolist()
+
+
+def test_very_long_white_space():
+    assert len(packing.encode(" " * 300_000 + "a", RANKS)) > 1000

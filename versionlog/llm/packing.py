@@ -16,6 +16,7 @@ input are packed as often.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from array import array
 from collections import Counter
@@ -37,7 +38,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """A function from a text to its ids, for a .tiktoken or .json byte-level BPE file.
+    """Two functions, from a text and from a single piece of a text to ids, for a .tiktoken or
+    .json byte-level BPE file.
 
     Control strings in a text are ordinary text. Both libraries give the same ids for the
     same vocabulary; ranks are several times faster.
@@ -47,17 +49,25 @@ def encoder(path: str):
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        known = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        return known.encode_ordinary, known._encode_single_piece
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+    def ids(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    return ids, ids
 
 
 #: A text is encoded in parts of about so many characters, cut where a word begins after a
 #: single space, which no merge crosses.
 PART = 1 << 16
+#: A run of white space this long is encoded by itself: matching it overflows the stack of the
+#: pattern's engine. It is one piece but for its last character, if a text goes on after it.
+_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 def _parts(text: str) -> Iterator[str]:
@@ -75,9 +85,15 @@ def _parts(text: str) -> Iterator[str]:
 
 def encode(text: str, path: str) -> array:
     ids = array("I")
-    run = encoder(path)
+    run, run_piece = encoder(path)
     for part in _parts(text):
-        ids.extend(run(part))
+        at = 0
+        for white in _WHITE.finditer(part):
+            end = white.end() - (white.end() < len(part))
+            ids.extend(run(part[at : white.start()]))
+            ids.extend(run_piece(part[white.start() : end]))
+            at = end
+        ids.extend(run(part[at:]))
     return ids
 
 
