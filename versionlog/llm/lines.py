@@ -84,6 +84,7 @@ def dedup_lines(
     # 2. the first occurrence of each distinct chunk, by its bytes
     place = F.struct(F.col("__id").isNull().alias("last"), "__id", "at", "__th")
     first = hits.groupBy("code", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    first = cut(first)  # written, so that the join below can split a chunk with very many occurrences
     other = hits.join(first.select(F.col("code"), F.col("chunk").alias("same"), "first"), "code").where("chunk = same")
     other = other.where(~place.eqNullSafe(F.col("first")))
     # 3. texts without those chunks
