@@ -58,13 +58,13 @@ def test_odd_rows(odd, nothing):
     assert neardup.keep_one(nothing).collect() == []
 
 
-def test_forests_hold_the_closest_pairs():
+def test_forest_holds_the_closest_pairs():
     g = np.random.default_rng(5)
     base = g.integers(0, 1 << 62, dtype=np.uint64)
     flips = (np.uint64(1) << g.integers(0, 64, (40, 3)).astype(np.uint64))
     prints = base ^ np.bitwise_xor.reduce(flips, axis=1)
-    pairs = neardup.forests(prints)
-    assert len(pairs) < 2 * len(prints)
+    pairs = neardup.forest(prints)
+    assert len(pairs) < len(prints)
     seen, todo = {0}, [0]
     while todo:
         node = todo.pop()
@@ -74,3 +74,27 @@ def test_forests_hold_the_closest_pairs():
                     seen.add(y)
                     todo.append(y)
     assert len(seen) == len(prints)
+
+
+def test_groups_are_verified_exactly():
+    r = random.Random(8)
+    base = [r.getrandbits(60) for _ in range(40)]
+    sets = [np.unique(np.array([x if r.random() > e else r.getrandbits(60) for x in base[: r.randrange(1, 41)]], np.uint64)) for e in [0.0, 0.02, 0.1, 0.3] * 30]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if neardup.jaccard(sets[i], sets[j]) >= 0.8 - 1e-12:
+                root[find(i)] = find(j)
+    want = [find(i) for i in range(len(sets))]
+    root = list(range(len(sets)))
+    for a, b in neardup.verified(sets, 0.8):
+        assert neardup.jaccard(sets[a], sets[b]) >= 0.8 - 1e-12
+        root[find(a)] = find(b)
+    have = [find(i) for i in range(len(sets))]
+    assert all((want[i] == want[j]) == (have[i] == have[j]) for i in range(len(sets)) for j in range(i))

@@ -6,13 +6,13 @@ Two texts are linked if their sets of word shingles (five words) have a Jaccard
 1. Equal texts are one node. Each node has several independent 64-bit SimHash fingerprints
    of its word pairs, which change less under an edit than longer shingles do.
 2. Each fingerprint is entered in the byte-position index of ``simhash``: its keys are
-   triples of positional bytes. A list links its members by minimum spanning forests over
-   the differing bits (two forests without a common edge, all pairs in short lists), so a
-   list of n members gives fewer than 2 n pairs and the closest pairs come first.
-3. Candidate pairs form loose groups. A group's shingle sets meet in one task, where pairs
-   are verified exactly: all pairs of a group while that is little work, and the candidate
-   pairs of a larger one. Groups of over ``group_limit`` nodes are verified pair by pair in a
-   join instead, so no task holds a group of unbounded size.
+   triples of positional bytes. A list links its members by a minimum spanning forest over
+   the differing bits (all pairs in a short list), so a list of n members gives fewer than n
+   pairs. These pairs only have to bring similar texts into one loose group.
+3. A loose group's shingle sets meet in one task, where all its pairs that can be similar are
+   verified exactly. A group of over ``group_limit`` texts or ``group_bytes`` of shingles is
+   verified in a join instead, pair by pair of step 2, so no task holds a group of unbounded
+   size.
 
 With eight fingerprints a pair of similarity 0.8 shares a list with a probability of 0.98,
 and closer pairs more often. Lists of over ``list_limit`` members are split by two more
@@ -23,6 +23,7 @@ Null texts count as empty; all empty texts are one node. Ids may be null or repe
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -36,7 +37,10 @@ from versionlog.llm.common import U64, cut, mix64
 from versionlog.llm.components import components
 from versionlog.llm.simhash import SEED, TRIPLES
 
-PRINTS, PROBE_WORDS, REACH = 8, 2, 14
+PRINTS, PROBE_WORDS = 8, 2
+#: Most differing bits of a candidate pair in one fingerprint. A pair of similarity 0.8 that
+#: shares a list differs in 3.9 of the other 40 bits on average, and in over 9 in 1 of 100.
+REACH = 9
 
 
 def shingle_codes(text: bytes, words: int) -> np.ndarray:
@@ -63,40 +67,26 @@ def prints_of(codes: np.ndarray, count: int) -> np.ndarray:
     return np.packbits(votes * 2 > len(codes), bitorder="little").view(np.uint64)
 
 
-def forests(prints: np.ndarray, rounds: int = 2, short: int = 12) -> np.ndarray:
-    """Index pairs of one list: all within REACH if it is short, else minimum spanning forests."""
+def forest(prints: np.ndarray, short: int = 12) -> np.ndarray:
+    """Index pairs of one list: all within REACH if it is short, else a minimum spanning forest."""
     n = len(prints)
     if n <= short:
         a, b = np.triu_indices(n, 1)
         near = np.bitwise_count(prints[a] ^ prints[b]) <= REACH
         return np.stack([a[near], b[near]], axis=1)
-    used: dict[int, list[int]] = {}
-    found: list[tuple[int, int]] = []
-    for _ in range(rounds):  # Prim's algorithm, a row of distances at a time
-        best = np.full(n, 255, dtype=np.uint8)
-        source = np.full(n, -1)
-        left = np.ones(n, dtype=bool)
-        node = 0
-        for _ in range(n):
-            left[node] = False
-            gap = np.bitwise_count(prints ^ prints[node])
-            gap[used.get(node, [])] = 255
-            better = left & (gap < best)
-            best[better] = gap[better]
-            source[better] = node
-            masked = np.where(left, best, 255)
-            node = int(masked.argmin())
-            if not left[node]:
-                rest = np.flatnonzero(left)
-                if not len(rest):
-                    break
-                node = int(rest[0])
-                continue
-            if best[node] <= REACH:
-                found.append((int(source[node]), node))
-        for a, b in found:
-            used.setdefault(a, []).append(b)
-            used.setdefault(b, []).append(a)
+    best = np.full(n, 255, dtype=np.uint8)
+    source = np.zeros(n, dtype=np.int64)
+    left = np.ones(n, dtype=bool)
+    found, node = [], 0
+    for _ in range(n - 1):  # Prim's algorithm, a row of distances at a time
+        left[node] = False
+        gap = np.bitwise_count(prints ^ prints[node])
+        better = left & (gap < best)
+        best[better] = gap[better]
+        source[better] = node
+        node = int(np.where(left, best, 255).argmin())
+        if best[node] <= REACH:
+            found.append((int(source[node]), node))
     return np.array(found, dtype=np.int64).reshape(-1, 2)
 
 
@@ -108,7 +98,7 @@ def _pairs(limit: int):
 
         def emit(prints: np.ndarray, nodes: np.ndarray, out: list[np.ndarray]) -> None:
             for i in range(0, max(1, len(nodes) - limit // 2), limit // 2):  # windows that overlap by half
-                pair = forests(prints[i : i + limit]) + i
+                pair = forest(prints[i : i + limit]) + i
                 if len(pair):
                     out.append(np.sort(nodes[pair], axis=1))
 
@@ -194,35 +184,46 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def verified(sets: list[np.ndarray], pairs: np.ndarray, similarity: float, work: int = 1 << 26) -> list[tuple[int, int]]:
-    """Links of one group: spanning links over all its pairs, or over the given pairs only."""
-    n, total = len(sets), sum(map(len, sets))
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+def verified(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Spanning links over all pairs of one group that are similar enough, found exactly.
 
+    Two such sets share one of their rarest shingles: a set of n shingles is entered under
+    its n - ceil(similarity * n) + 1 rarest ones and compared with the sets it meets there,
+    unless links join them already.
+    """
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    owner = np.repeat(np.arange(n), sizes)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    by = np.lexsort((code, count[code], owner))  # of each set, its rarest shingles first
+    early = np.arange(len(by)) - starts[owner[by]] < (sizes - np.ceil(similarity * sizes - 1e-9) + 1)[owner[by]]
+    keys_of = np.split(code[by][early], np.searchsorted(owner[by][early], np.arange(1, n)))
+    entered: dict[int, array] = {}
+    label = np.arange(n)
+    members = {i: [i] for i in range(n)}
     out = []
-    if n * total <= work:
-        every = np.concatenate(sets)
-        starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-        sizes = np.array([len(s) for s in sets])
-        for i in range(n - 1):
-            both = np.add.reduceat(np.isin(every[starts[i + 1] :], sets[i]).astype(np.int64), starts[i + 1 :] - starts[i + 1])
-            for j in np.flatnonzero(both >= similarity * (sizes[i] + sizes[i + 1 :] - both) - 1e-9) + i + 1:
-                a, b = find(i), find(int(j))
-                if a != b:
-                    root[a] = b
-                    out.append((i, int(j)))
-        return out
-    for i, j in pairs.tolist():
-        a, b = find(i), find(j)
-        if a != b and jaccard(sets[i], sets[j]) >= similarity - 1e-12:
-            root[a] = b
-            out.append((i, j))
+    for i in np.argsort(sizes, kind="stable").tolist():
+        met = np.zeros(n, dtype=bool)
+        for key in keys_of[i].tolist():
+            if (of := entered.setdefault(key, array("q"))):
+                met[np.frombuffer(of, np.int64)] = True
+            of.append(i)
+        met &= (label != label[i]) & (sizes >= similarity * sizes[i] - 1e-9)
+        near = np.flatnonzero(met)
+        for at in range(0, len(near), 64):
+            part = near[at : at + 64]
+            part = part[label[part] != label[i]]
+            if not len(part):
+                continue
+            flags = np.isin(np.concatenate([sets[j] for j in part]), sets[i])
+            both = np.add.reduceat(flags, np.concatenate([[0], np.cumsum(sizes[part])[:-1]]), dtype=np.int64)
+            for j in part[both >= similarity * (sizes[i] + sizes[part] - both) - 1e-9].tolist():
+                if label[j] != label[i]:
+                    out.append((i, j))
+                    few, many = sorted((int(label[i]), int(label[j])), key=lambda x: len(members[x]))
+                    label[members[few]] = many
+                    members[many] += members.pop(few)
     return out
 
 
@@ -235,6 +236,7 @@ def near_duplicates(
     similarity: float = 0.8,
     list_limit: int = 2048,
     group_limit: int = 4096,
+    group_bytes: int = 64 << 20,
     broadcast_rows: int = 1 << 20,
 ) -> DataFrame:
     """(id, digest, component_id, component_digest): a row for each row of ``docs``.
@@ -256,38 +258,30 @@ def near_duplicates(
     nodes = cut(printed.groupBy("digest").agg(F.first("prints").alias("prints")).withColumn("node", F.monotonically_increasing_id()))
     pairs = cut(candidates(nodes.select("node", "prints"), list_limit))
     loose = cut(components(pairs))
-    sizes = loose.groupBy("root").count()
-    member = cut(loose.join(sizes, "root").select("node", "root", (F.col("count") > group_limit).alias("large")))
-    wanted = member.join(nodes.select("node", "digest"), "node")
-    wanted = cut(wanted)
+    wanted = cut(loose.join(nodes.select("node", "digest"), "node"))
     small = wanted.count() <= broadcast_rows
 
     def sets_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
             found = [np.unique(shingle_codes(t.as_py(), words_per_shingle)).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "root", "large")), pa.array(found, pa.binary())], names=["node", "root", "large", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), pa.array(found, pa.binary())], names=["node", "root", "shingles"])
 
     met = rows.select("digest", "text").join(F.broadcast(wanted) if small else wanted.hint("shuffle_hash"), "digest")
-    sets = met.select("node", "root", "large", "text").mapInArrow(sets_, "node long, root long, large boolean, shingles binary")
-    sets = sets.groupBy("node", "root", "large").agg(F.first("shingles").alias("shingles"))  # a set for each text, not for each copy
-    sets = cut(sets)
-    tied = pairs.join(member.select(F.col("node").alias("a"), "root", "large"), "a")
+    sets = met.select("node", "root", "text").mapInArrow(sets_, "node long, root long, shingles binary")
+    sets = cut(sets.groupBy("node", "root").agg(F.first("shingles").alias("shingles")))  # a set for each text, not for each copy
+    groups = sets.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes"))
+    large = cut(groups.where((F.col("n") > group_limit) | (F.col("bytes") > group_bytes)).select("root"))
 
-    def check(group: pa.Table, edges: pa.Table) -> pa.Table:
+    def check(group: pa.Table) -> pa.Table:
         names = group["node"].to_numpy()
-        order = np.argsort(names)
-        names = names[order]
-        data = group["shingles"].to_pylist()
-        held = [np.frombuffer(data[i], np.uint64) for i in order]
-        at = np.stack([np.searchsorted(names, edges[c].to_numpy()) for c in ("a", "b")], axis=1) if edges.num_rows else np.zeros((0, 2), np.int64)
-        links = np.array(verified(held, at, similarity), dtype=np.int64).reshape(-1, 2)
+        held = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
+        links = np.array(verified(held, similarity), dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(names[links[:, 0]], pa.int64()), "b": pa.array(names[links[:, 1]], pa.int64())})
 
-    grouped = sets.where("not large").select("root", "node", "shingles").groupBy("root").cogroup(tied.where("not large").select("root", "a", "b").groupBy("root"))
-    links = grouped.applyInArrow(check, "a long, b long")
-    if not member.where("large").isEmpty():
-        side = sets.where("large").select("node", "shingles")
+    links = sets.join(large, "root", "left_anti").groupBy("root").applyInArrow(check, "a long, b long")
+    if not large.isEmpty():
+        side = sets.join(large, "root", "left_semi").select("node", "shingles")
         left = side.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = side.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
 
@@ -297,7 +291,7 @@ def near_duplicates(
                 good = [jaccard(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= similarity - 1e-12 for x, y in pairs_]
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-        wide = tied.where("large").select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+        wide = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
         links = links.unionByName(wide.mapInArrow(one, "a long, b long"))
     roots = components(cut(links))
     least = ids.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")).alias("least"))
