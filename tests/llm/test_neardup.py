@@ -98,3 +98,15 @@ def test_groups_are_verified_exactly():
         root[find(a)] = find(b)
     have = [find(i) for i in range(len(sets))]
     assert all((want[i] == want[j]) == (have[i] == have[j]) for i in range(len(sets)) for j in range(i))
+
+
+def test_large_groups_keep_all_links(spark):
+    r = random.Random(3)
+    words = [f"w{r.randrange(5000)}" for _ in range(200)]
+    rows = [(i, edited(r, words[: r.choice([150, 200])], r.randrange(1, 7))) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    of = classes(rows)
+    for options in ({"group_limit": 100}, {"group_bytes": 1 << 17}):
+        got = {x.id: x.component_id for x in neardup.near_duplicates(df, **options).collect()}
+        assert len(set(got.values())) == len(set(of))
+        assert len({(of[i], got[i]) for i in range(len(rows))}) == len(set(of))

@@ -11,8 +11,10 @@ Two texts are linked if their sets of word shingles (five words) have a Jaccard
    pairs. These pairs only have to bring similar texts into one loose group.
 3. A loose group's shingle sets meet in one task, where all its pairs that can be similar are
    verified exactly. A group of over ``group_limit`` texts or ``group_bytes`` of shingles is
-   verified in a join instead, pair by pair of step 2, so no task holds a group of unbounded
-   size.
+   split into blocks of about half that size, and each two blocks meet in a task of their own, so
+   all pairs are verified and no task holds a group of unbounded size. Texts without enough
+   shared shingles for any link are left out first, sizes too far apart never meet, and pairs
+   that links of step 2 join already are skipped.
 
 With eight fingerprints a pair of similarity 0.8 shares a list with a probability of 0.98,
 and closer pairs more often. Lists of over ``list_limit`` members are split by two more
@@ -23,8 +25,9 @@ Null texts count as empty; all empty texts are one node. Ids may be null or repe
 
 from __future__ import annotations
 
+import math
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -184,14 +187,20 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def verified(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+def verified(sets: list[np.ndarray], similarity: float, label: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning links over all pairs of one group that are similar enough, found exactly.
 
+    Sets of one ``label`` count as linked already; with ``side`` only sets of different sides
+    are compared.
+
     Two such sets share one of their rarest shingles: a set of n shingles is entered under
     its n - ceil(similarity * n) + 1 rarest ones and compared with the sets it meets there,
     unless links join them already.
     """
     n = len(sets)
+    label = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1]
+    if not label.any():
+        return []
     sizes = np.array([len(s) for s in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     owner = np.repeat(np.arange(n), sizes)
@@ -200,15 +209,18 @@ def verified(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]
     early = np.arange(len(by)) - starts[owner[by]] < (sizes - np.ceil(similarity * sizes - 1e-9) + 1)[owner[by]]
     keys_of = np.split(code[by][early], np.searchsorted(owner[by][early], np.arange(1, n)))
     entered: dict[int, array] = {}
-    label = np.arange(n)
-    members = {i: [i] for i in range(n)}
+    members: dict[int, list[int]] = {}
+    for i, of in enumerate(label.tolist()):
+        members.setdefault(of, []).append(i)
     out = []
     for i in np.argsort(sizes, kind="stable").tolist():
         met = np.zeros(n, dtype=bool)
         for key in keys_of[i].tolist():
-            if (of := entered.setdefault(key, array("q"))):
-                met[np.frombuffer(of, np.int64)] = True
-            of.append(i)
+            if (held := entered.setdefault(key, array("q"))):
+                met[np.frombuffer(held, np.int64)] = True
+            held.append(i)
+        if side is not None:
+            met &= side != side[i]
         met &= (label != label[i]) & (sizes >= similarity * sizes[i] - 1e-9)
         near = np.flatnonzero(met)
         for at in range(0, len(near), 64):
@@ -227,6 +239,63 @@ def verified(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]
     return out
 
 
+def block_links(sets: DataFrame, known: DataFrame, similarity: float, group_limit: int, group_bytes: int) -> DataFrame:
+    """Links (a, b) over all similar pairs of each group, found in tasks of bounded size.
+
+    ``sets`` has node, root and shingles; ``known`` has (node, label) of nodes linked already.
+    """
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, roots = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "root"))
+            for node, root, held in zip(nodes, roots, batch.column("shingles"), strict=True):
+                code = np.frombuffer(held.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), x)) for x in (node, root)] + [pa.array(code)], names=["node", "root", "code"])
+
+    size = (F.length("shingles") / 8).cast("long")
+    # a set with a similar one shares this part of its shingles; those of one text alone are not shared
+    alone = sets.mapInArrow(codes, "node long, root long, code long").groupBy("root", "code").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("own"))
+    alone = alone.where("k = 1").groupBy("own").agg(F.count(F.lit(1)).alias("alone"))
+    shared = sets.join(alone, sets["node"] == alone["own"], "left").where(size - F.coalesce("alone", F.lit(0)) >= F.lit(similarity) * size - 1e-6)
+    labelled = shared.join(known.withColumnRenamed("node", "own_"), F.col("node") == F.col("own_"), "left")
+    # classes of sizes: similar sets are of one class or of two next to each other
+    width = max(-1.01 * math.log(similarity), 0.01)
+    labelled = cut(labelled.select("node", "root", "shingles", F.coalesce("label", "node").alias("label"), F.floor(F.log(size) / width).alias("class")))
+    half = F.greatest(F.count(F.lit(1)) / (group_limit / 2), F.sum(F.length("shingles")) / (group_bytes / 2))
+    blocks = cut(labelled.groupBy("root", "class").agg(F.ceil(half).alias("k")))
+
+    def beside(step: int, name: str) -> DataFrame:
+        return blocks.select(F.col("root"), (F.col("class") - step).alias("class"), F.col("k").alias(name))
+
+    blocks = blocks.join(beside(1, "above"), ["root", "class"], "left").join(beside(-1, "below"), ["root", "class"], "left")
+    placed = labelled.join(blocks, ["root", "class"]).withColumn("no", F.pmod(F.xxhash64("node"), "k"))
+
+    def tasks(count: str, make: Callable[[F.Column], F.Column]) -> F.Column:
+        return F.when(F.col(count).isNull(), F.array().cast("array<struct<at:bigint,x:bigint,y:bigint,side:bigint>>")).otherwise(
+            F.transform(F.sequence(F.lit(0).cast("long"), F.col(count) - 1), make)
+        )
+
+    def task(at: F.Column, x: F.Column, y: F.Column, side: F.Column) -> F.Column:
+        return F.struct(at.cast("long").alias("at"), x.cast("long").alias("x"), y.cast("long").alias("y"), side.cast("long").alias("side"))
+
+    no, kind = F.col("no"), F.col("class")
+    every = F.concat(  # two blocks of one class, or one of each of two classes
+        tasks("k", lambda j: task(kind * 2, F.least(no, j), F.greatest(no, j), no)),
+        tasks("above", lambda j: task(kind * 2 + 1, no, j, F.lit(0))),
+        tasks("below", lambda j: task(kind * 2 - 1, j, no, F.lit(1))),
+    )
+    met = placed.select("node", "root", "shingles", "label", F.explode(every).alias("task")).select("node", "root", "shingles", "label", "task.*")
+
+    def check(group: pa.Table) -> pa.Table:
+        names, side = group["node"].to_numpy(), group["side"].to_numpy()
+        held = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
+        inner = group["at"][0].as_py() % 2 == 0 and group["x"][0] == group["y"][0]
+        links = np.array(verified(held, similarity, group["label"].to_numpy(), None if inner else side), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(names[links[:, 0]], pa.int64()), "b": pa.array(names[links[:, 1]], pa.int64())})
+
+    return met.groupBy("root", "at", "x", "y").applyInArrow(check, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -292,7 +361,10 @@ def near_duplicates(
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
         wide = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        links = links.unionByName(wide.mapInArrow(one, "a long, b long"))
+        sure = cut(wide.mapInArrow(one, "a long, b long"))
+        known = components(sure).withColumnRenamed("root", "label")
+        whole = sets.join(large, "root", "left_semi")
+        links = links.unionByName(sure).unionByName(block_links(whole, known, similarity, group_limit, group_bytes))
     roots = components(cut(links))
     least = ids.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")).alias("least"))
     named = nodes.select("node", "digest").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
