@@ -25,8 +25,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated chunks of lines."""
-    deduped = lines.dedup_lines(docs).drop("n_lines", "removed")
+    """Documents without repeated runs of two or more lines."""
+    deduped = lines.dedup_lines(docs, windows=True).drop("n_lines", "removed")
     return deduped.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -1,6 +1,9 @@
+import random
+
 import duckdb
 import pytest
 
+import corpus_pipeline
 from versionlog.llm import lines
 
 
@@ -62,3 +65,40 @@ def test_chunks_cover_all_lines(spark, every):
 def test_native_plan(docs):
     plan = lines.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def without_repeated_runs(rows, length=2):
+    """Lines covered by a run of ``length`` lines that occurred before."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        of = text.split("\n")
+        gone = set()
+        for at in range(len(of) - length + 1):
+            run = tuple(of[at : at + length])
+            if run in seen:
+                gone.update(range(at, at + length))
+            seen.add(run)
+        out[i] = "\n".join(x for at, x in enumerate(of) if at not in gone)
+    return out
+
+
+def test_pipeline_removes_short_passages(spark):
+    r = random.Random(4)
+    passages = [[f"shared {p} {i}" for i in range(r.randrange(1, 5))] for p in range(30)]
+    rows = [(i, "\n".join(x for _ in range(r.randrange(1, 6)) for x in [*r.choice(passages), f"own {i} {r.random()}"])) for i in range(60)]
+    rows += [(70, "a\na\na\na"), (71, "a\nb\na\nb\na"), (72, ""), (73, "\n"), (74, "one line"), (75, "one line")]
+    df = spark.createDataFrame([(*x, len(x[1])) for x in rows], "doc_id long, text string, n_chars long")
+    want = without_repeated_runs(rows)
+    got = corpus_pipeline.drop_repeated_lines(spark, df, "").collect()
+    assert {x.doc_id: x.text for x in got} == want and len(got) == len(rows)
+    assert all(x.n_chars == len(x.text) for x in got)
+    few = {x.doc_id: x for x in lines.dedup_lines(df, windows=True, least_lines=3, broadcast_rows=0).collect()}
+    assert {i: x.text for i, x in few.items()} == without_repeated_runs(rows, 3)
+
+
+def test_windows_take_odd_rows(odd, nothing):
+    out = lines.dedup_lines(odd, windows=True)
+    assert out.count() == odd.count()
+    assert out.where("doc_id = 1").first().text is None
+    assert len({x.text for x in out.where("doc_id = 9").collect()}) == 1
+    assert lines.dedup_lines(nothing, windows=True).count() == 0

@@ -7,6 +7,10 @@ boundary further on. Chunks of ``least_lines`` lines or more that occur more tha
 the whole table are removed, except for their first occurrence (smallest id, then smallest
 place). Hashes only choose candidates: occurrences are removed after comparing bytes.
 
+With ``windows`` every run of ``least_lines`` lines counts, not only whole chunks, so each
+repeated passage of that many lines or more is removed up to its edges, wherever boundaries
+would fall. A line's first occurrence is never lost: a run that holds it has not occurred before.
+
 Null texts stay null, and a text that loses all its lines is empty. A null id comes after all
 others. Rows equal in id and text are one occurrence and are treated alike.
 """
@@ -56,6 +60,16 @@ def chunks(text: Column, every: int, reach: int) -> Column:
     return F.flatten(F.transform(bound, cut_at))
 
 
+def windows_of(text: Column, length: int) -> Column:
+    """Array of (at, lines): every run of ``length`` lines."""
+
+    def cut_at(lines: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: i + length <= F.size(lines))
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(lines, i + 1, length).alias("lines")))
+
+    return F.flatten(F.transform(F.array(F.split(text, "\n", -1)), cut_at))  # split once
+
+
 def dedup_lines(
     docs: DataFrame,
     *,
@@ -64,15 +78,18 @@ def dedup_lines(
     every: int = EVERY,
     reach: int = REACH,
     least_lines: int = LEAST_LINES,
+    windows: bool = False,
     broadcast_rows: int = 1 << 20,
 ) -> DataFrame:
     """``docs`` with the text replaced, and the columns n_lines and removed.
 
-    ``removed`` lists (at, n): each removed chunk's first line number and its lines.
+    ``removed`` lists (at, n): each removed chunk's first line number and its lines (with
+    ``windows``, each removed line by itself).
     """
     rows = docs.withColumns({"__id": F.col(f"`{id_col}`"), "__text": F.col(f"`{text_col}`")})
     rows = rows.withColumn("__th", F.xxhash64("__text"))
-    all_chunks = rows.select("__id", "__th", F.explode(chunks(F.col("__text"), every, reach)).alias("c"))
+    found = windows_of(F.col("__text"), least_lines) if windows else chunks(F.col("__text"), every, reach)
+    all_chunks = rows.select("__id", "__th", F.explode(found).alias("c"))
     long_ = all_chunks.where(F.size("c.lines") >= least_lines).select(
         "__id", "__th", F.col("c.at").alias("at"), F.size("c.lines").alias("n"), F.array_join("c.lines", "\n").alias("chunk")
     )
@@ -87,12 +104,18 @@ def dedup_lines(
     first = cut(first)  # written, so that the join below can split a chunk with very many occurrences
     other = hits.join(first.select(F.col("code"), F.col("chunk").alias("same"), "first"), "code").where("chunk = same")
     other = other.where(~place.eqNullSafe(F.col("first")))
+    if windows:  # they overlap
+        other = other.select("__id", "__th", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at"), F.lit(1).alias("n"))
     # 3. texts without those chunks
     gone = other.groupBy(F.col("__id").alias("g_id"), F.col("__th").alias("g_th")).agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("removed"))
     gone = gone.hint("shuffle_hash")
     joined = rows.join(gone, rows["__id"].eqNullSafe(gone["g_id"]) & (rows["__th"] == gone["g_th"]), "left")
     lines = F.split("__text", "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.exists("removed", lambda r: (i >= r["at"]) & (i < r["at"] + r["n"])))
+    if windows:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed.at"))
+        kept = F.flatten(F.transform(F.array(lines), lambda all_: F.transform(left, lambda i: F.get(all_, i))))
+    else:
+        kept = F.filter(lines, lambda _, i: ~F.exists("removed", lambda r: (i >= r["at"]) & (i < r["at"] + r["n"])))
     text = F.when(F.col("removed").isNull(), F.col("__text")).otherwise(F.array_join(kept, "\n"))
     columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     nothing = F.array().cast("array<struct<at:int,n:int>>")
