@@ -110,3 +110,14 @@ def test_large_groups_keep_all_links(spark):
         got = {x.id: x.component_id for x in neardup.near_duplicates(df, **options).collect()}
         assert len(set(got.values())) == len(set(of))
         assert len({(of[i], got[i]) for i in range(len(rows))}) == len(set(of))
+
+
+def test_long_lists_compare_all_pairs(spark):
+    g = np.random.default_rng(9)
+    prints = g.integers(0, 1 << 63, 150, dtype=np.uint64) >> np.uint64(24) << np.uint64(24) | np.uint64(0x123456)
+    flips = np.uint64(sum(1 << (8 * i + 1) for i in range(3, 8)))  # partners share the three bytes of their list only
+    both = np.concatenate([prints, prints ^ flips]).view(np.int64).tolist()
+    nodes = spark.createDataFrame([(i, [x]) for i, x in enumerate(both)], "node long, prints array<long>")
+    for options in ({}, {"broadcast_rows": 0}):
+        found = {(r.a, r.b) for r in neardup.candidates(nodes, 20, **options).collect()}
+        assert {(i, i + 150) for i in range(150)} <= found

@@ -17,8 +17,8 @@ Two texts are linked if their sets of word shingles (five words) have a Jaccard
    that links of step 2 join already are skipped.
 
 With eight fingerprints a pair of similarity 0.8 shares a list with a probability of 0.98,
-and closer pairs more often. Lists of over ``list_limit`` members are split by two more
-bytes, and a part that is still longer is read in windows in the order of its fingerprints.
+and closer pairs more often. A list of over ``list_limit`` members is dealt into blocks of about
+half as many, and each two blocks are one shorter list, so all its pairs are still compared.
 
 Null texts count as empty; all empty texts are one node. Ids may be null or repeat.
 """
@@ -28,7 +28,6 @@ from __future__ import annotations
 import math
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -93,17 +92,16 @@ def forest(prints: np.ndarray, short: int = 12) -> np.ndarray:
     return np.array(found, dtype=np.int64).reshape(-1, 2)
 
 
-def _pairs(limit: int):
-    """Candidate pairs of the lists in rows (key, print, node) sorted by key and print."""
+def _pairs():
+    """Candidate pairs of the lists in rows (key, print, node) sorted by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
         def emit(prints: np.ndarray, nodes: np.ndarray, out: list[np.ndarray]) -> None:
-            for i in range(0, max(1, len(nodes) - limit // 2), limit // 2):  # windows that overlap by half
-                pair = forest(prints[i : i + limit]) + i
-                if len(pair):
-                    out.append(np.sort(nodes[pair], axis=1))
+            pair = forest(prints)
+            if len(pair):
+                out.append(np.sort(nodes[pair], axis=1))
 
         def lists(key: np.ndarray, prints: np.ndarray, nodes: np.ndarray, out: list[np.ndarray]) -> None:
             starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
@@ -132,9 +130,6 @@ def _pairs(limit: int):
             if last:
                 lists(*(c[:last] for c in columns), out)
             rest = [c[last:].copy() for c in columns]
-            while len(rest[0]) > 2 * limit:  # a long list goes on in windows
-                emit(rest[1][:limit], rest[2][:limit], out)
-                rest = [c[limit // 2 :] for c in rest]
             yield from batch_of(out)
         if rest is not None:
             out = []
@@ -151,33 +146,30 @@ def _key(of: F.Column, positions: tuple[int, ...]) -> F.Column:
     return out
 
 
-def candidates(nodes: DataFrame, list_limit: int) -> DataFrame:
+def candidates(nodes: DataFrame, list_limit: int, broadcast_rows: int = 1 << 20) -> DataFrame:
     """Distinct pairs (a, b) of nodes to be verified; ``nodes`` has node and prints."""
     each = nodes.select("node", F.posexplode("prints").alias("no", "print"))
-    tagged = F.array(*[F.struct(F.shiftleft(_key(F.col("print"), t), 8).bitwiseOR(F.lit(8 * i)).alias("key"), F.lit(i).alias("t")) for i, t in enumerate(TRIPLES)])
-    postings = each.select("node", "print", "no", F.explode(tagged).alias("k"))
-    postings = postings.select("node", "print", "no", "k.t", (F.col("k.key") + F.col("no").cast("long") * F.lit(1 << 40)).alias("key"))
-    long_ = postings.groupBy("key").count().where(F.col("count") > list_limit).select("key")
-    long_ = cut(long_)
-    plain = postings.select("key", "print", "node")
-    run = _pairs(list_limit)
-    if long_.isEmpty():
-        short = plain
-        parts = None
-    else:
-        short = plain.join(long_, "key", "left_anti")
-        finer = F.array(
-            *[F.array(*[_key(F.col("print"), (*t, *p)) for p in combinations([x for x in range(8) if x not in t], 2)]) for t in TRIPLES]
-        )
-        more = postings.join(long_, "key", "left_semi").select("node", "print", "no", "t", F.posexplode(F.element_at(finer, F.col("t") + 1)).alias("p", "bytes"))
-        parts = more.select(F.xxhash64("no", "t", "p", "bytes").alias("key"), "print", "node")
+    keys = F.array(*[F.shiftleft(_key(F.col("print"), t), 8).bitwiseOR(F.lit(8 * i)) for i, t in enumerate(TRIPLES)])
+    postings = each.select("node", "print", "no", F.explode(keys).alias("key"))
+    postings = postings.select("node", "print", (F.col("key") + F.col("no").cast("long") * F.lit(1 << 40)).alias("key"))
+    long_ = postings.groupBy("key").count().where(F.col("count") > list_limit)
+    long_ = cut(long_.select("key", F.ceil(F.col("count") * 2 / list_limit).alias("blocks")))
 
     def searched(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key", "print", "node").mapInArrow(run, "a long, b long")
-
-    found = searched(short)
-    if parts is not None:
-        found = found.unionByName(searched(parts))
+        return rows.repartition("key").sortWithinPartitions("key", "print", "node").mapInArrow(_pairs(), "a long, b long")
+
+    many = long_.count()
+    if many:
+        side = F.broadcast(long_) if many <= broadcast_rows else long_
+        short = postings.join(side, "key", "left_anti")
+        # a member meets each other block of its list, and the other members of its own block there
+        placed = postings.join(side, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != F.col("block"))
+        placed = placed.select("key", "print", "node", "block", F.explode(others).alias("other"))
+        parts = placed.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "print", "node")
+        found = searched(short.select("key", "print", "node")).unionByName(searched(parts))
+    else:
+        found = searched(postings.select("key", "print", "node"))
     return found.where("a <> b").distinct()
 
 
@@ -325,7 +317,7 @@ def near_duplicates(
     printed = rows.select("digest", "text").mapInArrow(print_, "digest binary, prints array<long>")
     # prints depend on the text alone, so any row of a digest will do
     nodes = cut(printed.groupBy("digest").agg(F.first("prints").alias("prints")).withColumn("node", F.monotonically_increasing_id()))
-    pairs = cut(candidates(nodes.select("node", "prints"), list_limit))
+    pairs = cut(candidates(nodes.select("node", "prints"), list_limit, broadcast_rows))
     loose = cut(components(pairs))
     wanted = cut(loose.join(nodes.select("node", "digest"), "node"))
     small = wanted.count() <= broadcast_rows
