@@ -76,3 +76,11 @@ def test_ledger_scans_only_what_is_new(spark, docs, tmp_path):
 
 def test_empty_table(nothing):
     assert check(nothing, []).count() == 0
+
+
+def test_tokens_are_found_without_other_marks():
+    token = "xoxb" + "-1234567890-abcdef"
+    assert secrets.scan_text(f"a {token} b") == [("token", 2, 2 + len(token))]
+    assert ("token", 4, 4 + len(token)) in secrets.scan_text(f"a_b {token}")
+    for known in ("ghp_" + "a1B2" * 9, "sk_live_" + "a1B2" * 4):
+        assert ("token", 2, 2 + len(known)) in secrets.scan_text(f"a {known}")

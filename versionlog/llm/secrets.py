@@ -41,14 +41,15 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 KINDS = ("assign", "access", "hex", "private_key", "jwt", "token")
 BASE = KINDS[:3]
 _NAMES = ("passw", "secret", "token", "api")
+#: Of each kind the marks, one of which every match holds, and the pattern.
 _ADDED = {
-    "private_key": ("-----BEGIN", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S)),
-    "jwt": ("eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    "token": ("_", re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,})")),
+    "private_key": (("-----BEGIN",), re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S)),
+    "jwt": (("eyJ",), re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    "token": (("_", "xox"), re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,})")),
 }
-#: Changes whenever a pattern, length or kind does, so the ledger never mixes rules.
+#: Changes whenever a pattern, mark, length or kind does, so the ledger never mixes rules.
 RULE_VERSION = hashlib.sha256(
-    repr([ASSIGN.pattern, ACCESS.pattern, ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST, [(k, p.pattern) for k, (_, p) in _ADDED.items()]]).encode()
+    repr([ASSIGN.pattern, ACCESS.pattern, ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST, [(k, m, p.pattern) for k, (m, p) in _ADDED.items()]]).encode()
 ).hexdigest()[:16]
 
 _HEX = np.zeros(257, dtype=np.int8)
@@ -82,8 +83,8 @@ def scan_text(text: str) -> list[tuple[str, int, int]]:
         if len(raw) != len(text):  # bytes to code points
             runs = np.array([[len(raw[:a].decode()), len(raw[:b].decode())] for a, b in runs.tolist()])
         found += [("hex", a, b) for a, b in runs.tolist()]
-    for kind, (mark, pattern) in _ADDED.items():
-        if mark in text:
+    for kind, (marks, pattern) in _ADDED.items():
+        if any(mark in text for mark in marks):
             found += [(kind, *m.span()) for m in pattern.finditer(text)]
     found.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     return found
