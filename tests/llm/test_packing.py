@@ -101,3 +101,12 @@ def test_ranks_and_json_give_the_same_ids(text):
 
 def test_very_long_white_space():
     assert len(packing.encode(" " * 300_000 + "a", RANKS)) > 1000
+
+
+def test_all_combinations_are_planned():
+    hist = np.zeros(1025, dtype=np.int64)
+    hist[1:1024] = 30000
+    window = 1024
+    want = {(a, window - a) for a in range(1, window // 2 + 1)}
+    want |= {(a, b, window - a - b) for a in range(1, window) for b in range(a, window) if window - a - b >= b}
+    assert set(packing.combinations_of(hist, window)) == want
