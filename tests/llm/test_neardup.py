@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from versionlog.llm import neardup
+from versionlog.llm import neardup, simhash
+from versionlog.llm.components import components
 
 
 def classes(rows, similarity=0.8, words=5):
@@ -33,7 +34,7 @@ def edited(r, words, n):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"group_limit": 3}, {"list_limit": 8, "broadcast_rows": 0}])
+@pytest.mark.parametrize("options", [{}, {"group_limit": 3}, {"list_limit": 8, "broadcast_rows": 0}, {"list_limit": 2}, {"list_limit": 16}])
 def test_near_copies(spark, options):
     r = random.Random(11)
     rows = []
@@ -58,12 +59,12 @@ def test_odd_rows(odd, nothing):
     assert neardup.keep_one(nothing).collect() == []
 
 
-def test_forest_holds_the_closest_pairs():
+def test_links_of_a_list_span_it():
     g = np.random.default_rng(5)
     base = g.integers(0, 1 << 62, dtype=np.uint64)
     flips = (np.uint64(1) << g.integers(0, 64, (40, 3)).astype(np.uint64))
     prints = base ^ np.bitwise_xor.reduce(flips, axis=1)
-    pairs = neardup.forest(prints)
+    pairs = simhash.spanning(prints, neardup.REACH, neardup.LEAST)
     assert len(pairs) < len(prints)
     seen, todo = {0}, [0]
     while todo:
@@ -121,3 +122,13 @@ def test_long_lists_compare_all_pairs(spark):
     for options in ({}, {"broadcast_rows": 0}):
         found = {(r.a, r.b) for r in neardup.candidates(nodes, 20, **options).collect()}
         assert {(i, i + 150) for i in range(150)} <= found
+
+
+def test_contracted_links_have_the_same_classes(spark):
+    r = random.Random(2)
+    pairs = sorted({tuple(sorted((r.randrange(300), r.randrange(300)))) for _ in range(260)} - {(i, i) for i in range(300)})
+    df = spark.createDataFrame(pairs, "a long, b long")
+    few = neardup.contracted(df)
+    assert {x.node: x.root for x in components(few).collect()} == {x.node: x.root for x in components(df).collect()}
+    hub = [(a, b) for b in range(50, 400) for a in range(0, 50, 7)]  # each member with all representatives
+    assert neardup.contracted(spark.createDataFrame(hub, "a long, b long")).count() <= 350 + 8

@@ -5,10 +5,11 @@ Two texts are linked if their sets of word shingles (five words) have a Jaccard
 
 1. Equal texts are one node. Each node has several independent 64-bit SimHash fingerprints
    of its word pairs, which change less under an edit than longer shingles do.
-2. Each fingerprint is entered in the byte-position index of ``simhash``: its keys are
-   triples of positional bytes. A list links its members by a minimum spanning forest over
-   the differing bits (all pairs in a short list), so a list of n members gives fewer than n
-   pairs. These pairs only have to bring similar texts into one loose group.
+2. Each fingerprint is entered in the byte-position index of ``simhash``, and lists are read by
+   its search: shared positional bytes are tallied, pairs under the minimum are dropped, the
+   rest are verified by their differing bits, and a list of n members gives fewer than n links
+   (to the first member of each class). They only have to bring similar texts into one loose
+   group; links are contracted to about one for each node before classes are formed.
 3. A loose group's shingle sets meet in one task, where all its pairs that can be similar are
    verified exactly. A group of over ``group_limit`` texts or ``group_bytes`` of shingles is
    split into blocks of about half that size, and each two blocks meet in a task of their own, so
@@ -20,7 +21,9 @@ With eight fingerprints a pair of similarity 0.8 shares a list with a probabilit
 and closer pairs more often. A list of over ``list_limit`` members is dealt into blocks of about
 half as many, and each two blocks are one shorter list, so all its pairs are still compared.
 
-Null texts count as empty; all empty texts are one node. Ids may be null or repeat.
+Null texts count as empty; all empty texts are one node. Ids may be null or repeat; rows equal
+in id and text are one row for ``keep_one``. An empty table gives an empty one. Texts are read
+whole. Other columns may have any name and are kept as they are.
 """
 
 from __future__ import annotations
@@ -37,12 +40,14 @@ from pyspark.sql import functions as F
 
 from versionlog.llm.common import U64, cut, mix64
 from versionlog.llm.components import components
-from versionlog.llm.simhash import SEED, TRIPLES
+from versionlog.llm.simhash import SEED, TRIPLES, links_of_lists
 
 PRINTS, PROBE_WORDS = 8, 2
 #: Most differing bits of a candidate pair in one fingerprint. A pair of similarity 0.8 that
 #: shares a list differs in 3.9 of the other 40 bits on average, and in over 9 in 1 of 100.
 REACH = 9
+#: Positional bytes that a pair shares at least: those of the key of a list.
+LEAST = 3
 
 
 def shingle_codes(text: bytes, words: int) -> np.ndarray:
@@ -69,76 +74,6 @@ def prints_of(codes: np.ndarray, count: int) -> np.ndarray:
     return np.packbits(votes * 2 > len(codes), bitorder="little").view(np.uint64)
 
 
-def forest(prints: np.ndarray, short: int = 12) -> np.ndarray:
-    """Index pairs of one list: all within REACH if it is short, else a minimum spanning forest."""
-    n = len(prints)
-    if n <= short:
-        a, b = np.triu_indices(n, 1)
-        near = np.bitwise_count(prints[a] ^ prints[b]) <= REACH
-        return np.stack([a[near], b[near]], axis=1)
-    best = np.full(n, 255, dtype=np.uint8)
-    source = np.zeros(n, dtype=np.int64)
-    left = np.ones(n, dtype=bool)
-    found, node = [], 0
-    for _ in range(n - 1):  # Prim's algorithm, a row of distances at a time
-        left[node] = False
-        gap = np.bitwise_count(prints ^ prints[node])
-        better = left & (gap < best)
-        best[better] = gap[better]
-        source[better] = node
-        node = int(np.where(left, best, 255).argmin())
-        if best[node] <= REACH:
-            found.append((int(source[node]), node))
-    return np.array(found, dtype=np.int64).reshape(-1, 2)
-
-
-def _pairs():
-    """Candidate pairs of the lists in rows (key, print, node) sorted by key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-
-        def emit(prints: np.ndarray, nodes: np.ndarray, out: list[np.ndarray]) -> None:
-            pair = forest(prints)
-            if len(pair):
-                out.append(np.sort(nodes[pair], axis=1))
-
-        def lists(key: np.ndarray, prints: np.ndarray, nodes: np.ndarray, out: list[np.ndarray]) -> None:
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
-            sizes = np.diff(np.concatenate([starts, [len(key)]]))
-            two = starts[sizes == 2]  # most lists: compared at once
-            near = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= REACH]
-            if len(near):
-                out.append(np.sort(np.stack([nodes[near], nodes[near + 1]], axis=1), axis=1))
-            for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                emit(prints[s : s + n], nodes[s : s + n], out)
-
-        def batch_of(out: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if out:
-                found = np.unique(np.concatenate(out), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "print", "node")]
-            columns[1] = columns[1].view(np.uint64)
-            if rest is not None:
-                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
-            last = int(np.searchsorted(columns[0], columns[0][-1]))
-            out: list[np.ndarray] = []
-            if last:
-                lists(*(c[:last] for c in columns), out)
-            rest = [c[last:].copy() for c in columns]
-            yield from batch_of(out)
-        if rest is not None:
-            out = []
-            lists(*rest, out)
-            yield from batch_of(out)
-
-    return run
-
-
 def _key(of: F.Column, positions: tuple[int, ...]) -> F.Column:
     out = F.lit(0).cast("long")
     for p in positions:
@@ -147,30 +82,42 @@ def _key(of: F.Column, positions: tuple[int, ...]) -> F.Column:
 
 
 def candidates(nodes: DataFrame, list_limit: int, broadcast_rows: int = 1 << 20) -> DataFrame:
-    """Distinct pairs (a, b) of nodes to be verified; ``nodes`` has node and prints."""
-    each = nodes.select("node", F.posexplode("prints").alias("no", "print"))
-    keys = F.array(*[F.shiftleft(_key(F.col("print"), t), 8).bitwiseOR(F.lit(8 * i)) for i, t in enumerate(TRIPLES)])
-    postings = each.select("node", "print", "no", F.explode(keys).alias("key"))
-    postings = postings.select("node", "print", (F.col("key") + F.col("no").cast("long") * F.lit(1 << 40)).alias("key"))
+    """Distinct links (a, b), a < b, that connect all nodes within reach; ``nodes`` has node and prints."""
+    each = nodes.select("node", F.posexplode("prints").alias("no", "fp"))
+    keys = F.array(*[F.shiftleft(_key(F.col("fp"), t), 8).bitwiseOR(F.lit(8 * i)) for i, t in enumerate(TRIPLES)])
+    postings = each.select("node", "fp", "no", F.explode(keys).alias("key"))
+    postings = postings.select("node", "fp", (F.col("key") + F.col("no").cast("long") * F.lit(1 << 40)).alias("key"))
     long_ = postings.groupBy("key").count().where(F.col("count") > list_limit)
     long_ = cut(long_.select("key", F.ceil(F.col("count") * 2 / list_limit).alias("blocks")))
 
-    def searched(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key", "print", "node").mapInArrow(_pairs(), "a long, b long")
+    def searched(rows: DataFrame, limit: int | None) -> DataFrame:
+        dealt = rows.repartition("key").sortWithinPartitions("key", "node")
+        return dealt.mapInArrow(links_of_lists(limit, REACH, LEAST), "a long, b long")
 
+    found = searched(postings.select("key", "fp", "node"), list_limit)
     many = long_.count()
     if many:
         side = F.broadcast(long_) if many <= broadcast_rows else long_
-        short = postings.join(side, "key", "left_anti")
         # a member meets each other block of its list, and the other members of its own block there
         placed = postings.join(side, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
         others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != F.col("block"))
-        placed = placed.select("key", "print", "node", "block", F.explode(others).alias("other"))
-        parts = placed.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "print", "node")
-        found = searched(short.select("key", "print", "node")).unionByName(searched(parts))
-    else:
-        found = searched(postings.select("key", "print", "node"))
-    return found.where("a <> b").distinct()
+        placed = placed.select("key", "fp", "node", "block", F.explode(others).alias("other"))
+        parts = placed.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "fp", "node")
+        found = found.unionByName(searched(parts, None))
+    return found.distinct()
+
+
+def contracted(pairs: DataFrame) -> DataFrame:
+    """Links with the same classes as ``pairs`` (a < b), about one for each node.
+
+    A node keeps the link to its smallest partner, and its other partners are linked to that
+    one; most of these links are the same for all members of a group. A node has at most one
+    partner here for each of its lists (or blocks of a list), so the sets are small.
+    """
+    of = pairs.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("partners"))
+    own = of.select(F.col("partners")[0].alias("a"), "b")
+    others = of.where(F.size("partners") > 1).select(F.col("partners")[0].alias("a"), F.explode(F.expr("slice(partners, 2, size(partners) - 1)")).alias("b"))
+    return own.unionByName(others.distinct())
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -318,7 +265,7 @@ def near_duplicates(
     # prints depend on the text alone, so any row of a digest will do
     nodes = cut(printed.groupBy("digest").agg(F.first("prints").alias("prints")).withColumn("node", F.monotonically_increasing_id()))
     pairs = cut(candidates(nodes.select("node", "prints"), list_limit, broadcast_rows))
-    loose = cut(components(pairs))
+    loose = cut(components(cut(contracted(pairs))))
     wanted = cut(loose.join(nodes.select("node", "digest"), "node"))
     small = wanted.count() <= broadcast_rows
 

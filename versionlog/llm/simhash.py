@@ -4,8 +4,8 @@ A text's fingerprint has a bit set if it is set in over half the XXH64 values of
 word shingles. Two fingerprints of 8 bytes that differ in at most 3 bits share at least 5
 bytes by position. Of any 5 positions at least 3 fall into one half, so such a pair meets in
 a posting list of the index, whose keys are the triples of positional bytes within a half (8
-triples, 24 bits each). In a list, the shared positional bytes of each pair are tallied,
-pairs with fewer than 5 are dropped, and the rest are verified by their differing bits.
+triples, 24 bits each). In a list, the shared positional bytes of each pair are tallied, pairs
+with fewer than the guaranteed 5 are dropped, and only the rest are verified by their bits.
 
 Equal fingerprints are one node from the start. A list gives the links of a spanning forest
 only, so copies are never expanded into all pairs. A list longer than ``list_limit`` is split
@@ -14,7 +14,9 @@ shares 5 bytes, so it has at most 2**24 distinct members, and a long part is sea
 looking up each member's neighbours instead of comparing all pairs.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows with a null id
-are classed with the others; a component of such rows only has a null id.
+are classed with the others; a component of such rows only has a null id. Rows repeated in the
+input are repeated in the result, an empty table gives an empty one, and other columns of the
+input are not read, whatever their names. A text is hashed whole, in parts of bounded memory.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versionlog.llm.common import cut, extended, pick
+from versionlog.llm.common import U64, cut, extended, pick
 from versionlog.llm.components import components
 
 SEED, MAX_BITS, LEAST_SHARED = 42, 3, 5
@@ -81,11 +83,42 @@ def _key(positions: tuple[int, ...]) -> F.Column:
     return out
 
 
-def _verified(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which pairs share enough positional bytes and differ in few enough bits."""
+def shared_bytes(differ: np.ndarray) -> np.ndarray:
+    """Tally of the positional bytes that two prints share, from their differing bits."""
+    spread = differ | differ >> U64(4)
+    spread |= spread >> U64(2)
+    spread |= spread >> U64(1)
+    return 8 - np.bitwise_count(spread & U64(0x0101010101010101))
+
+
+def _within(x: np.ndarray, y: np.ndarray, reach: int, least: int) -> np.ndarray:
+    """Places of the pairs that share ``least`` bytes (count filter) and differ in ``reach`` bits at most."""
     differ = x ^ y
-    shared = (differ.view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=-1)
-    return (shared >= LEAST_SHARED) & (np.bitwise_count(differ) <= MAX_BITS)
+    kept = np.flatnonzero(shared_bytes(differ) >= least)
+    return kept[np.bitwise_count(differ[kept]) <= reach]
+
+
+def spanning(prints: np.ndarray, reach: int = MAX_BITS, least: int = LEAST_SHARED) -> np.ndarray:
+    """(member, first member) of the classes that pairs within reach form, as places in ``prints``.
+
+    A class grows from its first member; a member found is compared with those still left only,
+    so a group of near copies takes few comparisons and gives one link for each member.
+    """
+    n = len(prints)
+    first = np.arange(n)
+    left = np.arange(n)
+    while len(left) > 1:
+        seed, left = int(left[0]), left[1:]
+        todo = [seed]
+        while todo and len(left):
+            at = _within(prints[left], prints[todo.pop()], reach, least)
+            if len(at):
+                found = left[at]
+                first[found] = seed
+                todo += found.tolist()
+                left = np.delete(left, at)
+    member = np.flatnonzero(first != np.arange(n))
+    return np.stack([member, first[member]], axis=1)
 
 
 def _forest(n: int, left: np.ndarray, right: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -103,68 +136,72 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray, label: np.ndarray) -> n
         label = new
 
 
-def list_links(prints: np.ndarray, block: int = 256) -> np.ndarray:
-    """Links (member, representative) of a spanning forest of one list of distinct prints."""
+def list_links(prints: np.ndarray, reach: int = MAX_BITS, least: int = LEAST_SHARED, names: np.ndarray | None = None) -> np.ndarray:
+    """Links (member, representative) of a spanning forest of one list, by name (by print if there are none)."""
+    names = prints if names is None else names
     n = len(prints)
-    label = np.arange(n)
     flips = 1 + 64 + 64 * 63 // 2 + 64 * 63 * 62 // 6
-    if n <= flips // 8:
-        for i in range(0, n, block):
-            rows = prints[i : i + block, None]
-            a, b = np.nonzero(_verified(np.broadcast_to(rows, (len(rows), n)).copy(), np.broadcast_to(prints, (len(rows), n)).copy()))
-            keep = a + i < b
-            label = _forest(n, a[keep] + i, b[keep], label)
+    if n <= flips // 8 or reach > MAX_BITS:
+        pairs = spanning(prints, reach, least)
     else:
-        # members share five bytes, so neighbours differ within the other bits only
+        # so long a list is a part, whose key is the guaranteed minimum of shared bytes:
+        # the tally is reached, and neighbours differ within the other bits only
+        label = np.arange(n)
         free = int(np.bitwise_or.reduce(prints ^ prints[0]))
         bits = [1 << i for i in range(64) if free >> i & 1]
         order = np.argsort(prints)
         known = prints[order]
-        for size in range(1, MAX_BITS + 1):
+        for size in range(1, reach + 1):
             for chosen in combinations(bits, size):
                 near = known ^ np.uint64(sum(chosen))
                 at = np.minimum(np.searchsorted(known, near), n - 1)
                 hit = np.flatnonzero((known[at] == near) & (at > np.arange(n)))
                 if len(hit):
                     label = _forest(n, order[hit], order[at[hit]], label)
-    member = np.flatnonzero(label != np.arange(n))
-    return np.stack([prints[member], prints[label[member]]], axis=1) if len(member) else np.zeros((0, 2), np.uint64)
+        member = np.flatnonzero(label != np.arange(n))
+        pairs = np.stack([member, label[member]], axis=1)
+    return names[pairs]
 
 
-def _short_links(key: np.ndarray, prints: np.ndarray, reach: int) -> list[np.ndarray]:
-    """Links of sorted lists that have at most ``reach`` + 1 members: neighbours by distance."""
+def _short_links(key: np.ndarray, prints: np.ndarray, names: np.ndarray, most: int, reach: int, least: int) -> list[np.ndarray]:
+    """Links of sorted lists that have at most ``most`` + 1 members: neighbours by distance."""
     out = []
-    for d in range(1, reach + 1):
+    for d in range(1, most + 1):
         same = np.flatnonzero(key[d:] == key[:-d])
         if not len(same):
             break
-        good = same[_verified(prints[same], prints[same + d])]
-        out.append(np.stack([prints[good], prints[good + d]], axis=1))
+        good = same[_within(prints[same], prints[same + d], reach, least)]
+        out.append(np.stack([names[good + d], names[good]], axis=1))
     return out
 
 
-def _links_of_lists(limit: int | None):
-    """Reads (key, fp) sorted by key; lists over ``limit`` are left to the finer index."""
+def links_of_lists(limit: int | None, reach: int = MAX_BITS, least: int = LEAST_SHARED):
+    """Reads (key, fp) or (key, fp, node) sorted by key, gives links (a, b) with a < b of nodes (of
+    prints if there is no node); lists over ``limit`` are left to a finer index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # of the last, still open list
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last, still open list
         open_key, held_n = None, 0
 
         def emit(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            links = np.concatenate(parts) if parts else np.zeros((0, 2), np.uint64)
+            links = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
             if len(links):
-                yield pa.RecordBatch.from_arrays([pa.array(links[:, i].astype(np.uint64).view(np.int64)) for i in (0, 1)], names=["a", "b"])
+                links = np.unique(np.sort(links, axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
         def close() -> list[np.ndarray]:
             if held_n < 2 or (limit is not None and held_n > limit):
                 return []
-            return [list_links(np.concatenate(held))]
+            prints, names = (np.concatenate(x) for x in zip(*held, strict=True))
+            return [list_links(prints, reach, least, names)]
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = batch.column("key").to_numpy(zero_copy_only=False)
-            prints = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            signed = batch.column("fp").to_numpy(zero_copy_only=False)
+            prints = signed.view(np.uint64)
+            names = batch.column("node").to_numpy(zero_copy_only=False) if "node" in batch.schema.names else signed
             edges = np.flatnonzero(np.diff(key)) + 1
             starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(key)]])
             parts: list[np.ndarray] = []
@@ -175,12 +212,14 @@ def _links_of_lists(limit: int | None):
             whole = np.ones(len(starts), dtype=bool)
             whole[0], whole[-1] = open_key is None, False
             small = whole & (size > 1) & (size <= 9)
+            if limit is not None:
+                small &= size <= limit
             if small.any():
                 pickable = np.repeat(small, size)
-                parts += _short_links(key[pickable], prints[pickable], 8)
+                parts += _short_links(key[pickable], prints[pickable], names[pickable], 8, reach, least)
             for i in np.flatnonzero(whole & (size > 9)):
                 if limit is None or size[i] <= limit:
-                    parts.append(list_links(prints[starts[i] : ends[i]]))
+                    parts.append(list_links(prints[starts[i] : ends[i]], reach, least, names[starts[i] : ends[i]]))
             # the first run continues the open list, the last run stays open
             for i in dict.fromkeys((0, len(starts) - 1)):
                 if whole[i]:
@@ -191,7 +230,7 @@ def _links_of_lists(limit: int | None):
                 open_key = key[starts[i]]
                 held_n += int(size[i])
                 if limit is None or held_n <= limit:
-                    held.append(prints[starts[i] : ends[i]].copy())
+                    held.append((prints[starts[i] : ends[i]].copy(), names[starts[i] : ends[i]].copy()))
                 else:
                     held = []
             yield from emit(parts)
@@ -206,7 +245,7 @@ def links(prints: DataFrame, list_limit: int = 2048) -> DataFrame:
     index = F.array(*[F.shiftleft(_key(t), 4).bitwiseOR(F.lit(i)) for i, t in enumerate(TRIPLES)])
     postings = prints.select("fp", F.explode(index).alias("key"))
     lists = postings.repartition("key").sortWithinPartitions("key")
-    near = lists.mapInArrow(_links_of_lists(list_limit), "a long, b long")
+    near = lists.mapInArrow(links_of_lists(list_limit), "a long, b long")
     long_ = postings.groupBy("key").count().where(F.col("count") > list_limit).select("key")
     finer = []
     for i, t in enumerate(TRIPLES):
@@ -219,7 +258,7 @@ def links(prints: DataFrame, list_limit: int = 2048) -> DataFrame:
         ]
     )
     parts = postings.join(long_, "key").select("fp", F.explode(F.element_at(cases, (F.col("key").bitwiseAND(F.lit(15)) + 1).cast("int"))).alias("key"))
-    parts = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_links_of_lists(None), "a long, b long")
+    parts = parts.repartition("key").sortWithinPartitions("key").mapInArrow(links_of_lists(None), "a long, b long")
     return near.unionByName(parts)
 
 
