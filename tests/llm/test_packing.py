@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from versionlog.llm import packing
 
-RANKS, JSON = packing.vocabulary("byte_bpe_50k.tiktoken"), packing.vocabulary("byte_bpe_50k.json")
+JSON = packing.vocabulary("byte_bpe_50k.json")
 
 
 def check(rows, texts, window, end_id=0):
@@ -17,7 +17,6 @@ def check(rows, texts, window, end_id=0):
     for r in rows:
         by_doc.setdefault((r.doc_id, r.doc_tokens), []).append(r)
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     want = sorted((i, end_id, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, end_id])) for i, t in texts)
     crcs = sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows)
     expected = sorted(
@@ -41,19 +40,19 @@ def check(rows, texts, window, end_id=0):
 def test_odd_rows_and_repeats(odd):
     from tests.llm.conftest import ODD
 
-    rows = packing.pack(odd.where("doc_id is not null"), tokenizer=RANKS, window=64).collect()
+    rows = packing.pack(odd.where("doc_id is not null"), tokenizer=JSON, window=64).collect()
     check(rows, [x for x in ODD if x[0] is not None], 64)
-    assert packing.pack(odd, tokenizer=RANKS).where("doc_id is null").count() == 1
+    assert packing.pack(odd, tokenizer=JSON).where("doc_id is null").count() == 1
 
 
 def test_documents_fill_their_sequences(docs):
-    rows = packing.pack(docs, tokenizer=RANKS).collect()
+    rows = packing.pack(docs, tokenizer=JSON).collect()
     n = check(rows, [(r.doc_id, r.text) for r in docs.collect()], 1024)
     assert n <= 1.06 * sum(r.length for r in rows) / 1024 + 1
 
 
 def test_empty_table(nothing):
-    assert packing.pack(nothing, tokenizer=RANKS).collect() == []
+    assert packing.pack(nothing, tokenizer=JSON).collect() == []
 
 
 @settings(max_examples=60, deadline=None)
@@ -92,15 +91,40 @@ TEXTS = ["", "<|endoftext|> is text", "it's  two   spaces \n\n tabs\t\tend ", "x
 
 
 @pytest.mark.parametrize("text", TEXTS)
-def test_ranks_and_json_give_the_same_ids(text):
-    tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
-    assert packing.encode(text, RANKS).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
-    assert packing.encode(text[:2000], JSON).tolist() == packing.encode(text[:2000], RANKS).tolist()
+def test_ids_are_those_of_the_library(text):
+    assert packing.encode(text, JSON).tolist() == Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids
+
+
+LIBRARY = Tokenizer.from_file(JSON)
+PIECES = st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", "<|", " ", "  ", "\n", "\t", "'s", "'LL", "don't", "12", "é", "🙂", "你好", "word", " Word", "\u00a0", "\u3000", "a\u0301", "_", "--", "\x00", "\u2028"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.lists(PIECES, max_size=20).map("".join), st.text(max_size=60)))
+def test_any_text_has_the_ids_of_the_library(text):
+    assert packing.encode(text, JSON).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_control_strings_are_single_ids(spark):
+    assert packing.encode("a<|endoftext|>b", JSON).tolist() == [64, 50256, 65]
+    df = spark.createDataFrame([(1, "a<|endoftext|>b"), (2, "<|endoftext|>" * 300)], "doc_id long, text string")
+    check(packing.pack(df, tokenizer=JSON).collect(), [(r.doc_id, r.text) for r in df.collect()], 1024)
+
+
+def test_other_vocabularies_are_read_by_the_library(tmp_path):
+    import json
+
+    spec = json.load(open(JSON, encoding="utf-8"))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    assert packing._ranks(spec) is None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    text = "some words <|endoftext|> and more"
+    assert packing.encode(text, str(path)).tolist() == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
 
 
 def test_very_long_white_space():
-    assert len(packing.encode(" " * 300_000 + "a", RANKS)) > 1000
+    assert len(packing.encode(" " * 300_000 + "a", JSON)) > 1000
 
 
 def test_all_combinations_are_planned():

@@ -9,13 +9,15 @@ pieces are packed greedily, longest first.
 
 Pieces get a global number in the order (length, id, start), so each planned place is a range
 of numbers, and a piece finds its sequence and offset by a lookup in the plan. Sequences are
-padded to ``window``. Null and empty texts have only the ending id. Rows repeated in the
-input are packed as often.
+padded to ``window``. Null and empty texts have only the ending id. Very long texts are encoded
+whole, part by part. Rows repeated in the input are packed as often, ties in the order of pieces
+are broken by all their columns, and an empty table has no pieces. Other columns of the input
+are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import re
 import zlib
 from array import array
@@ -36,25 +38,50 @@ from versionlog.llm.sharding import number_rows
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def byte_of_char() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: visible Latin-1
+    characters stand for themselves, and the other bytes, in order, are written from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _ranks(spec: dict) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """The vocabulary as ranks, with its control strings, if that gives the same ids: a byte-level
+    BPE whose merges are in the order of their ids, and control strings matched as they stand."""
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    plain = plain and model["type"] == "BPE" and spec["normalizer"] is None
+    plain = plain and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    control = spec["added_tokens"]
+    if not plain or any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in control):
+        return None
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merged != sorted(merged) or len(model["vocab"]) != 256 + len(merged):
+        return None
+    of = byte_of_char()
+    return {bytes(of[c] for c in word): n for word, n in model["vocab"].items()}, {t["content"]: t["id"] for t in control}
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """Two functions, from a text and from a single piece of a text to ids, for a .tiktoken or
-    .json byte-level BPE file.
+    """Two functions, from a text and from a single piece of a text to ids, for the .json file of a tokenizer.
 
-    Control strings in a text are ordinary text. Both libraries give the same ids for the
-    same vocabulary; ranks are several times faster.
+    Ids are those of the ``tokenizers`` library, control strings included. A plain byte-level BPE
+    is encoded from its ranks, which is several times faster; any other file by the library.
     """
-    if path.endswith(".tiktoken"):
+    with open(path, encoding="utf-8") as f:
+        found = _ranks(json.load(f))
+    if found is not None:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        known = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        return known.encode_ordinary, known._encode_single_piece
+        ranks, control = found
+        known = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=control)
+        every = set(control)
+        return (lambda text: known.encode(text, allowed_special=every, disallowed_special=())), known._encode_single_piece
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
 
     def ids(text: str) -> list[int]:
         return tokenizer.encode(text, add_special_tokens=False).ids
