@@ -1,6 +1,8 @@
 import hashlib
 import re
+import time
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -84,3 +86,34 @@ def test_tokens_are_found_without_other_marks():
     assert ("token", 4, 4 + len(token)) in secrets.scan_text(f"a_b {token}")
     for known in ("ghp_" + "a1B2" * 9, "sk_live_" + "a1B2" * 4):
         assert ("token", 2, 2 + len(known)) in secrets.scan_text(f"a {known}")
+
+
+def test_added_kinds_agree_with_plain_patterns():
+    import random
+
+    jwt = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    key = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S)
+    r = random.Random(6)
+    parts = ["eyJ", "abcdefgh", "a-b_c", ".", "..", " ", "-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----END PRIVATE KEY-----", "-----END X", "\n", "é"]
+    for _ in range(4000):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(1, 16)))
+        assert secrets.web_tokens(text) == [m.span() for m in jwt.finditer(text)], text
+        assert secrets.private_keys(text) == [m.span() for m in key.finditer(text)], text
+
+
+@pytest.mark.parametrize("unit", ["é0123456789abcdef ", "-----BEGIN PRIVATE KEY----- ", "eyJabcdefghij", "eyJabcdefghij.", "xoxa-", "password ", "AKIA ", "xoxb" + "-1234567890 "])
+def test_ten_megabytes_take_linear_time(unit):
+    text = unit * (10_000_000 // len(unit))
+    start = time.perf_counter()
+    found = secrets.scan_text(text)
+    assert time.perf_counter() - start < 30
+    assert len(found) in (0, 1, len(text) // len(unit), len(text) // len(unit) // 3)
+
+
+def test_ledger_with_an_entry_twice(spark, tmp_path):
+    path, df = str(tmp_path / "ledger"), spark.createDataFrame([(1, EXTRA[0][1])], "doc_id long, text string")
+    secrets.scan_with_ledger(df, path)
+    spark.read.parquet(path).coalesce(1).write.parquet(f"{path}-again")
+    spark.read.parquet(f"{path}-again").write.mode("append").parquet(path)  # a retried append
+    assert spark.read.parquet(path).count() == 2
+    assert secrets.scan_with_ledger(df, path).count() == 1

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versionlog.llm import chat, decontaminate, lines, packing, quality, secrets, sharding, simhash, suffixes, topk
-from versionlog.llm.common import table
+from versionlog.llm.common import ensure_checkpoint_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,8 +19,7 @@ def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the same vocabulary as byte_bpe_50k.json, as ranks
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer=packing.vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer=packing.vocabulary("byte_bpe_50k.json"))
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +63,9 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = secrets.scan(table(spark, sf_dir, "documents"))
-    return secrets.digest(rows)
+    """Against a stored ledger, new for each call, so that the result does not hang on earlier calls."""
+    ledger = f"{ensure_checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    return secrets.digest(secrets.scan_with_ledger(table(spark, sf_dir, "documents"), ledger))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
