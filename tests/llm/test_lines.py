@@ -102,3 +102,31 @@ def test_windows_take_odd_rows(odd, nothing):
     assert out.where("doc_id = 1").first().text is None
     assert len({x.text for x in out.where("doc_id = 9").collect()}) == 1
     assert lines.dedup_lines(nothing, windows=True).count() == 0
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    n = 60_000
+    block = "\n".join(f"line {i} of a long text" for i in range(n))
+    df = spark.createDataFrame([(1, block), (2, block), (3, block + "\nand one more")], "doc_id long, text string")
+    start = time.perf_counter()
+    out = {r.doc_id: r.text for r in lines.dedup_lines(df).collect()}
+    assert out[1] == block and len(out[2]) < 0.5 * len(block) and len(out[3]) < 0.5 * len(block)
+    every = {r.doc_id: r.text for r in lines.dedup_lines(df, windows=True).collect()}
+    assert every == {1: block, 2: "", 3: "and one more"}
+    assert time.perf_counter() - start < 60
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "a\nb", 5, "x"), (2, "a\nb", 6, "y")], "doc_id long, text string, n_lines int, removed string")
+    with pytest.raises(ValueError):
+        lines.dedup_lines(df)
+    out = lines.dedup_lines(df, windows=True, details=("__n", "__gone")).orderBy("doc_id").collect()
+    assert [(r.text, r.n_lines, r.removed, r["__n"], len(r["__gone"])) for r in out] == [("a\nb", 5, "x", 2, 0), ("", 6, "y", 2, 1)]
+    assert lines.dedup_lines(df, details=None).columns == df.columns
+
+
+def test_runs_are_merged(spark):
+    df = spark.sql("select array(struct(0 as at, 2 as n), struct(1 as at, 2 as n), struct(5 as at, 2 as n), struct(7 as at, 2 as n)) as r")
+    assert [tuple(x) for x in df.select(lines.merged("r").alias("m")).first().m] == [(0, 3), (5, 4)]

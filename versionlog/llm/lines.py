@@ -12,7 +12,9 @@ repeated passage of that many lines or more is removed up to its edges, wherever
 would fall. A line's first occurrence is never lost: a run that holds it has not occurred before.
 
 Null texts stay null, and a text that loses all its lines is empty. A null id comes after all
-others. Rows equal in id and text are one occurrence and are treated alike.
+others. Rows equal in id and text are one occurrence and are treated alike. An empty table gives
+an empty one. Texts are read whole; the work on a text is in proportion to its lines. Columns of
+the input may have any name but those of ``details`` (pass none if they clash).
 """
 
 from __future__ import annotations
@@ -33,10 +35,8 @@ def line_value(line: Column) -> Column:
 
 def chunks(text: Column, every: int, reach: int) -> Column:
     """Array of (at, lines): each chunk's first line number (from 0) and its lines."""
-    lines = F.split(text, "\n", -1)
-    values = F.transform(lines, line_value)
 
-    def ends(of: Column, count: Column) -> Column:
+    def ends(of: Column) -> Column:
         """Numbers of the lines that end a chunk; the last line always does."""
 
         def rolled(i: Column) -> Column:
@@ -46,9 +46,10 @@ def chunks(text: Column, every: int, reach: int) -> Column:
                 out = out + value * F.lit(FACTOR**back)
             return out
 
-        return F.filter(F.sequence(F.lit(0), count - 1), lambda i: (rolled(i) % every == 0) | (i == count - 1))
+        last = F.size(of) - 1
+        return F.filter(F.sequence(F.lit(0), last), lambda i: (rolled(i) % every == 0) | (i == last))
 
-    def cut_at(found: Column) -> Column:
+    def cut_at(lines: Column, found: Column) -> Column:
         def one(end: Column, k: Column) -> Column:
             start = F.when(k == 0, F.lit(0)).otherwise(F.get(found, k - 1) + 1)
             return F.struct(start.alias("at"), F.slice(lines, start + 1, end - start + 1).alias("lines"))
@@ -56,8 +57,11 @@ def chunks(text: Column, every: int, reach: int) -> Column:
         return F.transform(found, one)
 
     # each intermediate array is bound once, so that it is not evaluated again for each use
-    bound = F.transform(F.array(values), lambda v: ends(v, F.size(v)))
-    return F.flatten(F.transform(bound, cut_at))
+    def of_lines(lines: Column) -> Column:
+        values = F.array(F.transform(lines, line_value))
+        return F.flatten(F.transform(F.transform(values, ends), lambda found: cut_at(lines, found)))
+
+    return F.flatten(F.transform(F.array(F.split(text, "\n", -1)), of_lines))
 
 
 def windows_of(text: Column, length: int) -> Column:
@@ -79,51 +83,88 @@ def dedup_lines(
     reach: int = REACH,
     least_lines: int = LEAST_LINES,
     windows: bool = False,
-    broadcast_rows: int = 1 << 20,
+    broadcast_rows: int = 1 << 18,
+    details: tuple[str, str] | None = ("n_lines", "removed"),
 ) -> DataFrame:
-    """``docs`` with the text replaced, and the columns n_lines and removed.
+    """``docs`` with the text replaced, and the two columns that ``details`` names.
 
-    ``removed`` lists (at, n): each removed chunk's first line number and its lines (with
-    ``windows``, each removed line by itself).
+    The first is the number of lines; the second lists (at, n): each removed chunk's first line
+    number and its lines (with ``windows``, each removed run of lines).
     """
+    if details and (clash := set(details) & set(docs.columns)):
+        raise ValueError(f"the input has columns {sorted(clash)}; give other names in details")
     rows = docs.withColumns({"__id": F.col(f"`{id_col}`"), "__text": F.col(f"`{text_col}`")})
     rows = rows.withColumn("__th", F.xxhash64("__text"))
     found = windows_of(F.col("__text"), least_lines) if windows else chunks(F.col("__text"), every, reach)
-    all_chunks = rows.select("__id", "__th", F.explode(found).alias("c"))
-    long_ = all_chunks.where(F.size("c.lines") >= least_lines).select(
-        "__id", "__th", F.col("c.at").alias("at"), F.size("c.lines").alias("n"), F.array_join("c.lines", "\n").alias("chunk")
+    each = rows.select("__id", "__th", F.explode(found).alias("c")).where(F.size("c.lines") >= least_lines)
+    # 1. chunks are formed once and written without their lines
+    each = cut(
+        each.select("__id", "__th", F.col("c.at").alias("at"), F.size("c.lines").alias("n"), F.xxhash64(F.array_join("c.lines", "\n")).alias("code"))
     )
-    long_ = long_.withColumn("code", F.xxhash64("chunk"))
-    # 1. hashes that occur more than once: eight bytes for each chunk are shuffled
-    codes = cut(long_.groupBy("code").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("code"))
-    small = codes.count() <= broadcast_rows  # else an ordinary join
-    hits = cut(long_.join(F.broadcast(codes) if small else codes, "code", "left_semi"))
-    # 2. the first occurrence of each distinct chunk, by its bytes
+    codes = each.groupBy("code").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("code")
+    hits = each.join(codes, "code", "left_semi")
+    # 2. the lines of those whose hash occurs more than once, from the texts that hold any
+    asked = cut(hits.groupBy(F.col("__id").alias("a_id"), F.col("__th").alias("a_th")).agg(F.collect_set(F.struct("at", "n", "code")).alias("asked")))
+    asked = F.broadcast(asked) if asked.count() <= broadcast_rows else asked.hint("shuffle_hash")  # a row for each text
+    held = rows.join(asked, rows["__id"].eqNullSafe(asked["a_id"]) & (rows["__th"] == asked["a_th"]))
+
+    def with_lines(lines: Column) -> Column:  # the text is split once
+        return F.transform("asked", lambda c: F.struct(c["at"].alias("at"), c["n"].alias("n"), c["code"].alias("code"), F.array_join(F.slice(lines, c["at"] + 1, c["n"]), "\n").alias("chunk")))
+
+    spelled = F.flatten(F.transform(F.array(F.split("__text", "\n", -1)), with_lines))
+    hits = cut(held.select("__id", "__th", F.explode(spelled).alias("c")).select("__id", "__th", "c.*"))
+    # 3. the first occurrence of each distinct chunk, by its bytes
     place = F.struct(F.col("__id").isNull().alias("last"), "__id", "at", "__th")
     first = hits.groupBy("code", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
     first = cut(first)  # written, so that the join below can split a chunk with very many occurrences
     other = hits.join(first.select(F.col("code"), F.col("chunk").alias("same"), "first"), "code").where("chunk = same")
     other = other.where(~place.eqNullSafe(F.col("first")))
+    # 4. texts without those chunks
+    gone = other.groupBy(F.col("__id").alias("g_id"), F.col("__th").alias("g_th")).agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("gone"))
     if windows:  # they overlap
-        other = other.select("__id", "__th", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at"), F.lit(1).alias("n"))
-    # 3. texts without those chunks
-    gone = other.groupBy(F.col("__id").alias("g_id"), F.col("__th").alias("g_th")).agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("removed"))
+        gone = gone.withColumn("gone", merged("gone"))
     gone = gone.hint("shuffle_hash")
     joined = rows.join(gone, rows["__id"].eqNullSafe(gone["g_id"]) & (rows["__th"] == gone["g_th"]), "left")
-    lines = F.split("__text", "\n", -1)
-    if windows:
-        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed.at"))
-        kept = F.flatten(F.transform(F.array(lines), lambda all_: F.transform(left, lambda i: F.get(all_, i))))
-    else:
-        kept = F.filter(lines, lambda _, i: ~F.exists("removed", lambda r: (i >= r["at"]) & (i < r["at"] + r["n"])))
-    text = F.when(F.col("removed").isNull(), F.col("__text")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("gone").isNull(), F.col("__text")).otherwise(F.array_join(without("__text", "gone"), "\n"))
     columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    nothing = F.array().cast("array<struct<at:int,n:int>>")
-    return joined.select(
-        *columns,
-        F.when(F.col("__text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce("removed", nothing).alias("removed"),
-    )
+    if details:
+        nothing = F.array().cast("array<struct<at:int,n:int>>")
+        n_lines = F.when(F.col("__text").isNull(), 0).otherwise(F.size(F.split("__text", "\n", -1))).cast("long")
+        columns += [n_lines.alias(details[0]), F.coalesce("gone", nothing).alias(details[1])]
+    return joined.select(*columns)
+
+
+def merged(runs: str) -> Column:
+    """Sorted (at, n) that may overlap, as runs that do not: a run begins where none before it reaches."""
+    numbers = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1))))
+
+    def of_numbers(all_: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda i: (i == 0) | (F.get(all_, i - 1) + 1 < F.get(all_, i)))
+
+        def of_heads(begins: Column) -> Column:
+            def one(head: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(begins, k + 1), F.size(all_))
+                return F.struct(F.get(all_, head).alias("at"), (end - head).alias("n"))
+
+            return F.transform(begins, one)
+
+        return F.flatten(F.transform(F.array(heads), of_heads))
+
+    return F.flatten(F.transform(F.array(numbers), of_numbers))
+
+
+def without(text: str, runs: str) -> Column:
+    """The lines of a text but for sorted runs that do not overlap: the slices between them."""
+
+    def of_lines(lines: Column) -> Column:
+        def one(i: Column) -> Column:
+            begin = F.when(i == 0, F.lit(0)).otherwise(F.get(runs, i - 1)["at"] + F.get(runs, i - 1)["n"])
+            end = F.coalesce(F.get(runs, i)["at"], F.size(lines))
+            return F.slice(lines, begin + 1, end - begin)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), one))
+
+    return F.flatten(F.transform(F.array(F.split(text, "\n", -1)), of_lines))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
