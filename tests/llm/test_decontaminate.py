@@ -91,3 +91,41 @@ def test_every_shared_span_has_a_fingerprint():
     marks = decontaminate.smallest(decontaminate.gram_hash(codes, 6), 5)
     for a in range(0, 900, 37):
         assert marks[a] == marks[a + 37]
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, ITEMS[0][1], 7, "x"), (2, "clean", 8, "y")], "doc_id long, text string, n_hit int, items string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    with pytest.raises(ValueError):
+        decontaminate.decontaminate(df, items, keep=tuple(df.columns))
+    for options in ({}, {"broadcast_bytes": 0}):
+        out = decontaminate.decontaminate(df, items, keep=tuple(df.columns), names=("__w", "__h", "__i"), **options).orderBy("doc_id").collect()
+        assert [(r.n_hit, r.items, r["__h"] > 0) for r in out] == [(7, "x", True), (8, "y", False)]
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}])
+def test_very_long_text(spark, options):
+    text = "many other words " * 600_000 + ITEMS[0][1] + " and more" * 1000
+    df = spark.createDataFrame([(1, text), (2, text[:3_000_000])], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = {r[0]: r[1:] for r in run(df, items, **options)}
+    assert got[1][:3] == (1_800_000 + 12 + 2000, 12, 2) and got[2][1] == 0
+
+
+def test_memory_of_fingerprints_is_bounded():
+    import random
+    import sys
+
+    r = random.Random(1)
+    rows = [(str(i), " ".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 400))).encode()) for i in range(200)]
+    prints = decontaminate.Fingerprints(10, 6).add(rows)
+    held = len(prints.text) + sum(x.nbytes for w in prints.by_length.values() for x in (w.marks, w.code, w.item, w.start, w.end))
+    assert held <= decontaminate.HELD_PER_BYTE * sum(len(t) + 1 for _, t in rows) + sys.getsizeof([])
+
+
+def test_windows_that_many_items_share(spark):
+    phrase = "a phrase of just ten words that very many share"
+    items = spark.createDataFrame([(i, f"{phrase} item {i}") for i in range(300)], "item_id long, text string")
+    df = spark.createDataFrame([(i, f"x {phrase} y") for i in range(40)], "doc_id long, text string")
+    want = brute([tuple(r) for r in df.collect()], [tuple(r) for r in items.collect()])
+    assert run(df, items) == want == run(df, items, broadcast_bytes=0)

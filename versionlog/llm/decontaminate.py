@@ -9,17 +9,21 @@ are extended to the windows around them by comparing the words themselves, so ha
 never decide a result.
 
 Null and empty texts have no words and are never contaminated. Null items are ignored;
-items with equal texts all count. Rows repeated in the input are repeated in the result.
+items with equal texts all count. Rows repeated in the input are repeated in the result; an
+empty table of documents gives an empty result, an empty benchmark no hits. Texts of any length
+are read whole, in slices of bounded memory. Columns that are kept may have any name but those
+of ``names`` (give others if they clash).
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,14 +89,32 @@ def smallest(hashes: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+#: Bytes that ``Fingerprints`` hold for each byte of benchmark text, at most: the text itself, and
+#: for each window (one for every two bytes) its mark, hash, item, first and last byte.
+HELD_PER_BYTE = 1 + (8 + 8 + 4 + 8 + 8) / 2
+#: Marks are looked up in a table of so many bits before they are shuffled (2 MB).
+SCREEN_BITS = 24
+
+
 @dataclass
+class Windows:
+    """Windows of one length, sorted by hash, as places in the text of all items."""
+
+    marks: np.ndarray
+    code: np.ndarray
+    item: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+
 class Fingerprints:
-    """Windows of benchmark items, keyed by their words, with the fingerprints to look for."""
+    """Windows of benchmark items in arrays, with the fingerprints to look for."""
 
-    window: int
-    k: int
-    items: dict[bytes, list[str]] = field(default_factory=dict)
-    by_length: dict[int, np.ndarray] = field(default_factory=dict)
+    def __init__(self, window: int, k: int) -> None:
+        self.window, self.k = window, k
+        self.names: list[str] = []
+        self.text = b""
+        self.by_length: dict[int, Windows] = {}
 
     def fingerprint(self, code: np.ndarray, length: int) -> np.ndarray:
         """Of each window of ``length`` words: its smallest k-gram hash."""
@@ -100,21 +122,28 @@ class Fingerprints:
         return smallest(gram_hash(code, k), length - k + 1)
 
     def add(self, rows: list[tuple[str, bytes]]) -> Fingerprints:
-        found: dict[int, list[np.ndarray]] = {}
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        texts, at = [], 0
         for item, text in rows:
             data = np.frombuffer(text, dtype=np.uint8)
             words = split_words(data, np.array([0, len(data)]))
             n = len(words.start)
             if n == 0:
                 continue
+            size = words.end - words.start + 1
+            start = at + np.cumsum(size) - size
+            texts.append(words.window(0, n) + b" ")
+            at += len(texts[-1])
             length = min(self.window, n)
-            found.setdefault(length, []).append(self.fingerprint(words.code, length))
-            for i in range(n - length + 1):
-                holders = self.items.setdefault(words.window(i, length), [])
-                if item not in holders:
-                    holders.append(item)
+            heads = np.arange(n - length + 1)
+            held = (self.fingerprint(words.code, length), gram_hash(words.code, length), np.full(len(heads), len(self.names), np.int32), start[heads], start[heads + length - 1] + size[heads + length - 1] - 1)
+            found.setdefault(length, []).append(held)
+            self.names.append(item)
+        self.text = b"".join(texts)
         for length, parts in found.items():
-            self.by_length[length] = np.unique(np.concatenate(parts))
+            marks, *columns = (np.concatenate(x) for x in zip(*parts, strict=True))
+            by = np.argsort(columns[0], kind="stable")
+            self.by_length[length] = Windows(np.unique(marks), *(c[by] for c in columns))
         return self
 
     def look(self, words: Words) -> tuple[np.ndarray, dict[int, set[str]]]:
@@ -127,11 +156,18 @@ class Fingerprints:
             marks = self.fingerprint(words.code, length)
             inside = words.row[: len(marks)] == words.row[length - 1 :]
             screen = np.zeros(1 << 16, dtype=bool)
-            screen[(known >> U64(48)).astype(np.int64)] = True
+            screen[(known.marks >> U64(48)).astype(np.int64)] = True
             maybe = np.flatnonzero(inside & screen[(marks >> U64(48)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(known, marks[maybe]), len(known) - 1)
-            for i in maybe[known[at] == marks[maybe]].tolist():
-                holders = self.items.get(words.window(i, length))
+            at = np.minimum(np.searchsorted(known.marks, marks[maybe]), len(known.marks) - 1)
+            maybe = maybe[known.marks[at] == marks[maybe]]
+            if not len(maybe):
+                continue
+            code = gram_hash(words.code, length)[maybe]
+            first, last = np.searchsorted(known.code, code), np.searchsorted(known.code, code, side="right")
+            some = np.flatnonzero(last > first)
+            for i, a, b in zip(maybe[some].tolist(), first[some].tolist(), last[some].tolist(), strict=True):
+                span = words.window(i, length)  # the words themselves decide
+                holders = {self.names[known.item[j]] for j in range(a, b) if self.text[known.start[j] : known.end[j]] == span}
                 if holders:
                     hit[i] += 1
                     hit[i + length] -= 1
@@ -139,7 +175,11 @@ class Fingerprints:
         return np.cumsum(hit[:-1]) > 0, items
 
 
-_DDL = "n_words long, n_hit long, items array<string>"
+NAMES = ("n_words", "n_hit", "items")
+
+
+def _ddl(names: tuple[str, str, str]) -> str:
+    return f"{names[0]} long, {names[1]} long, {names[2]} array<string>"
 
 
 def _measure(texts: pa.RecordBatch, column: str, prints: Fingerprints) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
@@ -167,23 +207,28 @@ def decontaminate(
     k: int = 6,
     broadcast_bytes: int = 32 << 20,
     keep: tuple[str, ...] = (),
+    names: tuple[str, str, str] = NAMES,
 ) -> DataFrame:
-    """``id``, the ``keep`` columns, n_words, n_hit and the sorted item ids found in each text.
+    """``id``, the ``keep`` columns, and under ``names`` the numbers of words and of words hit,
+    and the sorted item ids found in each text.
 
-    The benchmark's windows are sent to all executors while its texts hold at most
-    ``broadcast_bytes``. A larger benchmark is joined by fingerprint instead.
+    The benchmark's windows are sent to all executors if they hold at most ``broadcast_bytes``
+    in memory (``HELD_PER_BYTE`` bounds that by the size of the texts). A larger benchmark is
+    joined by fingerprint instead.
     """
     if not 1 <= k <= window:
         raise ValueError("k must be from 1 to window")
     kept = list(dict.fromkeys((id_col, *keep)))
+    if clash := set(kept) & set(names):
+        raise ValueError(f"columns {sorted(clash)} are kept; give other names")
     columns = [F.col(f"`{c}`") for c in kept]
     source = text_col if text_col in kept else "__text"  # a text that is kept is sent once
     rows = docs.select(*columns, *([] if source in kept else [F.col(f"`{text_col}`").alias(source)]))
     items = pick(benchmark, item=item_col, words=item_text_col).where("words is not null and item is not null")
-    items = items.select(F.col("item").cast("string").alias("item"), F.encode("words", "UTF-8").alias("words"))
+    items = items.select(F.col("item").cast("string").alias("item"), F.encode("words", "UTF-8").alias("words")).where(F.length("words") > 0)
     size = items.agg(F.coalesce(F.sum(F.length("words")), F.lit(0)).alias("n")).first()["n"]
-    if size > broadcast_bytes:
-        return _by_join(docs.select(*columns, F.col(f"`{text_col}`").alias("__text")), items, kept, window, k)
+    if size * HELD_PER_BYTE > broadcast_bytes:
+        return _by_join(docs.select(*columns, F.col(f"`{text_col}`").alias("__text")), items, kept, window, k, names)
     prints = docs.sparkSession.sparkContext.broadcast(
         Fingerprints(window, k).add([(r["item"], bytes(r["words"])) for r in items.collect()])
     )
@@ -194,21 +239,21 @@ def decontaminate(
             n_words, n_hit, found = _measure(batch, source, prints.value)
             arrays = [batch.column(c) for c in kept]
             arrays += [pa.array(n_words), pa.array(n_hit), pa.array(found, type=pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "n_words", "n_hit", "items"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *names])
 
-    return rows.mapInArrow(run, extended(out, _DDL))
+    return rows.mapInArrow(run, extended(out, _ddl(names)))
 
 
-def _by_join(rows: DataFrame, items: DataFrame, kept: list[str], window: int, k: int) -> DataFrame:
+def _by_join(rows: DataFrame, items: DataFrame, kept: list[str], window: int, k: int, names: tuple[str, str, str]) -> DataFrame:
     """Fingerprints of both sides meet in a join; only texts that share one see its items."""
 
-    def prints_of(key: str, text: str):
+    def prints_of(key: str, text: str, wanted: list[int], screen: Broadcast | None = None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(key)
                 for first, end, data, offsets in text_slices(batch, text, _SLICE):
                     words = split_words(data, offsets)
-                    for length in range(1, window + 1):
+                    for length in wanted:
                         marks = Fingerprints(window, k).fingerprint(words.code, length)
                         if not len(marks):
                             continue
@@ -217,6 +262,9 @@ def _by_join(rows: DataFrame, items: DataFrame, kept: list[str], window: int, k:
                         if key == "item":  # an item has windows of one length only
                             size = np.bincount(words.row, minlength=end - first)
                             inside &= np.minimum(size[row], window) == length
+                        if screen is not None:  # nearly all marks that no item has end here
+                            low = marks & U64((1 << SCREEN_BITS) - 1)
+                            inside &= (screen.value[(low >> U64(6)).astype(np.int64)] >> (low & U64(63)) & U64(1)).astype(bool)
                         pairs = np.unique(np.stack([row[inside].astype(np.uint64), marks[inside]]), axis=1)
                         yield pa.RecordBatch.from_arrays(
                             [ids.take(pa.array(first + pairs[0].astype(np.int64))), pa.array(np.full(pairs.shape[1], length, np.int32)), pa.array(pairs[1].view(np.int64))],
@@ -227,12 +275,16 @@ def _by_join(rows: DataFrame, items: DataFrame, kept: list[str], window: int, k:
 
     tagged = cut(rows.withColumn("__row", F.monotonically_increasing_id()))
     items = cut(items)
-    theirs = items.mapInArrow(prints_of("item", "words"), "item string, length int, mark long")
-    lengths = theirs.select("length").distinct()
-    ours = tagged.select("__row", "__text").mapInArrow(prints_of("__row", "__text"), "__row long, length int, mark long")
-    ours = ours.join(F.broadcast(lengths), "length", "left_semi")  # at most ``window`` lengths
+    theirs = cut(items.mapInArrow(prints_of("item", "words", list(range(1, window + 1))), "item string, length int, mark long"))
+    lengths = sorted(r["length"] for r in theirs.select("length").distinct().collect())  # ``window`` rows at most
+    bits = theirs.select(F.col("mark").bitwiseAND(F.lit((1 << SCREEN_BITS) - 1)).alias("low"))
+    words = bits.groupBy(F.shiftright("low", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(low & 63 as int))")).alias("bits")).toArrow()
+    screen = np.zeros(1 << SCREEN_BITS - 6, dtype=np.uint64)
+    screen[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(screen)
+    ours = tagged.select("__row", "__text").mapInArrow(prints_of("__row", "__text", lengths, shared), "__row long, length int, mark long")
     pairs = ours.join(theirs, ["length", "mark"]).select("__row", "item").distinct().join(items, "item")
-    schema = extended(tagged.drop("__text", "__row").schema, _DDL)
+    schema = extended(tagged.drop("__text", "__row").schema, _ddl(names))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         prints = Fingerprints(window, k).add(list(zip(right["item"].to_pylist(), right["words"].to_pylist(), strict=True)))
@@ -242,7 +294,9 @@ def _by_join(rows: DataFrame, items: DataFrame, kept: list[str], window: int, k:
             n_words, n_hit, found = np.zeros(0, np.int64), np.zeros(0, np.int64), []
         else:
             n_words, n_hit, found = _measure(texts, "__text", prints)
-        return parts[0].append_column("n_words", pa.array(n_words)).append_column("n_hit", pa.array(n_hit)).append_column("items", pa.array(found, type=pa.list_(pa.string())))
+        for name, column in zip(names, (pa.array(n_words), pa.array(n_hit), pa.array(found, type=pa.list_(pa.string()))), strict=True):
+            parts[0] = parts[0].append_column(name, column)
+        return parts[0]
 
     return tagged.groupBy("__row").cogroup(pairs.groupBy("__row")).applyInArrow(run, schema)
 
