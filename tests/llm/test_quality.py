@@ -61,6 +61,10 @@ def test_costs_equal_the_slow_model(spark, docs, order, monkeypatch):
             cost += known[g]
         assert got[i][0] == len(data)
         assert abs(got[i][1] - cost) <= 1 + len(data) * 0.01, i
+    for lanes in (1, 3):  # several blocks, with copies of each shard
+        monkeypatch.setattr(quality, "BLOCK", 3000)
+        again = {r.id: (r.n_bytes, r.cost) for r in quality.score(df, model, shards=5, lanes=lanes).collect()}
+        assert again == got
     total = sum(p(rows[0][1].encode()[:order - 1] + bytes([b])) for b in range(256))
     assert total == pytest.approx(1)
 
@@ -100,3 +104,23 @@ def test_labels_sort_the_documents(spark, docs):
     kept = [not got[i] for i, q in good.items() if q == 1]
     gone = [got[i] for i, q in good.items() if q == 0]
     assert sum(kept) >= 0.97 * len(kept) and sum(gone) >= 0.6 * len(gone)
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    import corpus_pipeline
+
+    r = random.Random(2)
+    words = ["the", "of", "reading", "water", "mountain", "story"]
+    rows = [(i, " ".join(r.choice(words) for _ in range(60)), "en", "s", 0) for i in range(200)]
+    junk = "".join(chr(r.randrange(33, 126)) for _ in range(len(rows[7][1])))
+    rows.append((7, junk, "en", "s", 0))  # the same id and length as a clean one
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    judged = quality.classify(df, spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int"))
+    assert [x.doc_id for x in judged.collect() if x.rejected] == [7]
+    assert judged.where("doc_id = 7").count() == 2
+    corpus_pipeline.table, kept = (lambda *_: spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")), corpus_pipeline.table
+    try:
+        out = [x.text for x in corpus_pipeline.keep_quality(spark, df, "").where("doc_id = 7").collect()]
+    finally:
+        corpus_pipeline.table = kept
+    assert out == [rows[7][1]]

@@ -10,15 +10,18 @@ Counts are sharded by the two bytes before the last byte of an n-gram. An n-gram
 its context, and the n-grams and contexts of orders 4 and 3 that it backs off to all hold
 these two bytes, so one join with one shard gives the interpolated probability. Orders 2
 and 1 have at most 2**16 entries and go to every task. Documents are scored in blocks of a
-few MB: a block asks each shard for the block's distinct n-grams (not its occurrences), the
-answers (fixed-point logs, 2 bytes each) are joined back to the block's texts, and sums of
-integers give each document's perplexity, the same in every run.
+few MB: a block asks each shard for the block's distinct n-grams (not its occurrences). The
+number of shards grows with the model, so a shard's part of it fits in a task, which reads that
+part once and then streams the blocks' questions past it. The answers (fixed-point logs, 2 bytes
+each) are joined back to the block's texts, and sums of integers give each document's
+perplexity, the same in every run.
 
 A block is formed twice, once to ask and once to score, so the input must give the same rows
 in the same order both times, as a stored table does; if not, the job fails rather than
 lose a row. Null and empty texts have no perplexity and are never rejected; so are texts in a
 language without trusted text. A null language is a language of its own. Rows that repeat
-are scored alike.
+are scored alike. Very long texts are counted and scored whole, in pieces. An empty table gives
+an empty result; other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -176,7 +179,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
     """(name, ids and languages, bytes, offsets) of runs of rows; the name depends on the bytes."""
     for batch in batches:
         for first, end, data, offsets in text_slices(batch, "text", BLOCK):
-            rows = batch.select(["id", "lang"]).slice(first, end - first)
+            rows = batch.select(["id", "lang", "th"]).slice(first, end - first)
             code = xxhash.xxh3_64(data.tobytes())
             code.update(offsets.tobytes())
             code.update(repr((rows.column("id").slice(0, 64).to_pylist(), rows.column("id")[-1].as_py())).encode())
@@ -184,13 +187,26 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
             yield name - (name >> 63 << 64), rows, data, offsets
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", shards: int = 64) -> DataFrame:
-    """(id, lang, n_bytes, cost): cost is the sum of SCALE times the negative logs, a long."""
+#: Rows of the model that a shard holds on average (some 40 bytes each in its task), and the most shards.
+SHARD_ROWS, LEAST_SHARDS, MOST_SHARDS = 1 << 20, 64, 1024
+
+
+def score(
+    docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", shards: int | None = None, lanes: int | None = None
+) -> DataFrame:
+    """(id, lang, th, n_bytes, cost): th is the XXH64 of the text, cost the sum of SCALE times the negative logs.
+
+    ``shards`` follow from the size of the model. A shard's questions are read in ``lanes``, each
+    with a copy of the shard: one unless the cluster has more cores than there are shards.
+    """
     order, levels, pairs = model.order, model.discounts, model.pairs
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    volume = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    salts = max(1, volume // (256 * BLOCK))  # of a shard, so many blocks meet in one task
-    shared = docs.sparkSession.sparkContext.broadcast(pairs)
+    spark = docs.sparkSession
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("text"))
+    if shards is None:
+        shards = min(max(LEAST_SHARDS, -(-model.counts.count() // SHARD_ROWS)), MOST_SHARDS)
+    if lanes is None:
+        lanes = max(1, spark.sparkContext.defaultParallelism // shards)
+    shared = spark.sparkContext.broadcast(pairs)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, _, data, offsets in _blocks(batches):
@@ -201,25 +217,41 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             parts = [grams[by[bounds[s] : bounds[s + 1]]] for s in range(shards)]
             used = [s for s in range(shards) if len(parts[s])]
             blobs = [_pack(np.diff(parts[s], prepend=U64(0))) for s in used]
-            names = ["block", "shard", "salt", "asked"]
-            salt = [name % salts] * len(used)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(salt, pa.int64()), pa.array(blobs, pa.binary())], names=names)
-
-    def answer(known: pa.Table, asked: pa.Table) -> pa.Table:
-        orders, all_grams, all_counts = known["ord"].to_numpy(), known["gram"].to_numpy().view(np.uint64), known["n"].to_numpy()
-        steps = []
-        for k in range(3, order + 1):
-            grams, counts = all_grams[orders == k], all_counts[orders == k]
-            by = np.argsort(grams)
-            steps.append((k, Level(grams[by], counts[by], levels[k])))
-        blobs = []
-        for blob in asked["asked"].to_pylist():
-            grams = np.cumsum(_unpack(blob, np.uint64), dtype=np.uint64)
-            p = shared.value[(grams & U64(0xFFFF)).astype(np.int64)]
-            for k, step in steps:
-                p = step.interpolate(grams & U64((1 << 8 * k) - 1), p)
-            blobs.append(_pack(np.minimum(np.round(-np.log(p) * SCALE), 65535).astype(np.uint16)))
-        return pa.table({"block": asked["block"], "shard": asked["shard"], "answer": pa.array(blobs, pa.binary())})
+            arrays = [pa.array(used, pa.int32()), pa.array([name % lanes] * len(used), pa.int32()), pa.array([name] * len(used), pa.int64()), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["shard", "lane", "block", "asked"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Reads rows sorted by shard and lane: first the shard's counts, then its questions."""
+        here, held, steps = None, [], None
+
+        def level(k: int, known: np.ndarray) -> Level:
+            of = known[known[:, 0] == k]
+            return Level(of[:, 1].view(np.uint64), of[:, 2], levels[k])  # sorted by gram, which is not negative
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "lane", "ord")], axis=1).astype(np.int64)
+            edges = np.concatenate([[0], np.flatnonzero((keys[1:, :2] != keys[:-1, :2]).any(axis=1)) + 1, [len(keys)]])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if a == b:
+                    continue
+                if here != (now := tuple(keys[a, :2].tolist())):
+                    here, held, steps = now, [], None
+                first = a + int(np.searchsorted(keys[a:b, 2], order + 1))  # questions stand after all orders
+                if first > a:
+                    part = batch.slice(a, first - a)
+                    held.append(np.stack([part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ord", "gram", "n")], axis=1))
+                if first == b:
+                    continue
+                if steps is None:
+                    known = np.concatenate(held) if held else np.zeros((0, 3), np.int64)
+                    steps, held = [(k, level(k, known)) for k in range(3, order + 1)], []
+                for i in range(first, b):
+                    grams = np.cumsum(_unpack(batch.column("asked")[i].as_py(), np.uint64), dtype=np.uint64)
+                    p = shared.value[(grams & U64(0xFFFF)).astype(np.int64)]
+                    for k, step in steps:
+                        p = step.interpolate(grams & U64((1 << 8 * k) - 1), p)
+                    blob = _pack(np.minimum(np.round(-np.log(p) * SCALE), 65535).astype(np.uint16))
+                    yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), batch.column("shard").slice(i, 1), pa.array([blob], pa.binary())], names=["block", "shard", "answer"])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, of, data, offsets in _blocks(batches):
@@ -253,15 +285,18 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     asked = rows.mapInArrow(ask, "block long, shard int, salt long, asked binary")
     cd = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    table = docs.sparkSession.createDataFrame(
+    table = spark.createDataFrame(
         [(i, int(s)) for i, s in enumerate(shard_of(np.arange(1 << 16, dtype=np.uint64) << U64(8), shards))], "cd int, shard int"
     )
-    known = model.counts.withColumn("cd", cd.cast("int")).join(F.broadcast(table), "cd").drop("cd")  # 2**16 rows
-    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    key = ["shard", "salt"]
-    answers = known.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(answer, "block long, shard int, answer binary")
+    known = model.counts.withColumn("cd", cd.cast("int")).join(F.broadcast(table), "cd")  # 2**16 rows
+    lane = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))) if lanes > 1 else F.lit(0)
+    known = known.select("shard", lane.alias("lane"), "ord", "gram", "n", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("asked"))
+    asked = rows.mapInArrow(ask, "shard int, lane int, block long, asked binary")
+    asked = asked.select("shard", "lane", F.lit(order + 1).alias("ord"), F.lit(None).cast("long").alias("gram"), F.lit(None).cast("long").alias("n"), "block", "asked")
+    met = known.unionByName(asked).repartition(shards * lanes, "shard", "lane").sortWithinPartitions("shard", "lane", "ord", "gram")
+    answers = met.mapInArrow(answer, "block long, shard int, answer binary")
     blocks = rows.mapInArrow(texts, "block long, of binary, offsets binary, data binary")
-    schema = extended(rows.select("id", "lang").schema, "n_bytes long, cost long")
+    schema = extended(rows.select("id", "lang", "th").schema, "n_bytes long, cost long")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(total, schema)
 
 
@@ -301,7 +336,7 @@ def classify(
     held_out: int = 5,
     broadcast_rows: int = 1 << 20,
 ) -> DataFrame:
-    """id, lang, n_bytes, perplexity, threshold and rejected of every row.
+    """id, lang, n_bytes, text_xxh64, perplexity, threshold and rejected of every row.
 
     Trusted are the documents whose label is 1. One in ``held_out`` of them sets the
     thresholds and is not counted; with too few trusted documents to set any aside, all do both.
@@ -326,6 +361,7 @@ def classify(
         F.col("id").alias(id_col),
         F.col("lang").alias(lang_col),
         "n_bytes",
+        F.col("th").alias("text_xxh64"),
         F.exp(own).alias("perplexity"),
         F.exp("limit").alias("threshold"),
         F.coalesce(judged > F.col("limit"), F.lit(False)).alias("rejected"),
