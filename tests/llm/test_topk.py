@@ -19,7 +19,7 @@ def brute(rows, k=10, every=100):
     return sorted(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_rows": 40, "block_queries": 2}])
+@pytest.mark.parametrize("options", [{}, {"shard_rows": 40}])
 def test_embeddings(spark, options):
     path = "/root/testdata/sf0.001/embeddings.parquet"
     con = duckdb.connect()
@@ -29,7 +29,7 @@ def test_embeddings(spark, options):
     assert sorted(tuple(r) for r in got.collect()) == sorted(con.sql(registry.ORACLES["op6_topk"]).fetchall())
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_rows": 7, "block_queries": 1}])
+@pytest.mark.parametrize("options", [{}, {"shard_rows": 7}])
 def test_odd_vectors_ties_and_repeats(spark, options):
     r = random.Random(4)
     rows = [(i, [r.choice([0.0, 0.5, -0.25, 1.0]) for _ in range(4)]) for i in range(60)]
@@ -52,3 +52,19 @@ def test_tree_boxes_are_tight_and_prune():
         part = vectors[tree.order[tree.start[n] : tree.end[n]]]
         assert (part.min(axis=0) == tree.low[n]).all() and (part.max(axis=0) == tree.high[n]).all()
     assert sorted(tree.order.tolist()) == list(range(4000))
+
+
+def test_each_shard_builds_its_tree_once_for_all_batches(monkeypatch):
+    import pyarrow as pa
+
+    g = np.random.default_rng(3)
+    built, build = [], topk.build
+    monkeypatch.setattr(topk, "build", lambda v: built.append(len(v)) or build(v))
+    rows = [(2, s, asked, 100 * s + i, 100 * s + i, g.integers(-9, 9, 2).tolist(), None) for s in (0, 1) for asked, n in ((0, 30), (1, 20)) for i in range(n)]
+    names = ["dim", "shard", "asked", "uid", "vec_id", "v", "floor"]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    one = pa.Table.from_batches(topk._searcher(10)([whole])).to_pylist()
+    few = pa.Table.from_batches(topk._searcher(10)(iter([whole.slice(i, 7) for i in range(0, whole.num_rows, 7)]))).to_pylist()
+    assert built == [30, 30, 30, 30]
+    assert sorted(map(str, one)) == sorted(map(str, few)) and len(one) == 40 * 10

@@ -6,17 +6,20 @@ nodes best first by the largest inner product its box allows, and stops when no
 reach the query's k-th score. A query first searches its own shard; the k-th score found
 there is propagated to the searches of all other shards, which prune with it from the start.
 
-Queries are a stated set of rows. They meet the shards in blocks of bounded size on either
-side. Results are exact; ties go to the smaller id. Vectors that are null, hold null or
-non-finite components, or have a null id take no part; a query is compared with the vectors
-of its own length only. Rows that repeat an id are vectors of their own.
+Queries are a stated set of rows. They are sent to the shards: a task reads a shard's vectors,
+builds its tree, and streams the queries past it, so vectors are shuffled once in each of the
+two passes and memory holds one shard and one batch of queries. Results are exact; ties go to
+the smaller id. Vectors that are null, hold null or non-finite components, or have a null id
+take no part; a query is compared with the vectors of its own length only. Rows that repeat an
+id are vectors of their own. An empty table has no results; other columns are not read, whatever
+their names. There are no texts here; a vector may have any length.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,34 +103,52 @@ def search(
     return best
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
-    flat = table["v"].combine_chunks()
-    values = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in ([flat] if isinstance(flat, pa.Array) else flat.chunks)] or [np.zeros(0)])
-    return values.astype(np.int64).reshape(table.num_rows, -1)
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), dim)
 
 
-def _searcher(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(shard: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int, int]] = []
-        if shard.num_rows and queries.num_rows:
-            vectors, asked = _matrix(shard), _matrix(queries)
-            ids, uids = shard["vec_id"].to_numpy(), shard["uid"].to_numpy()
-            tree = build(vectors)
-            low, high = tree.low.astype(float), tree.high.astype(float)
-            floors = queries["floor"].to_pylist()
+def _searcher(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Reads rows sorted by (dim, shard, asked): of each shard first its vectors, then the queries sent to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, tree = None, [], None
+        vectors = ids = uids = low = high = np.zeros(0)
+
+        def answered(part: pa.RecordBatch) -> pa.RecordBatch:
+            out: list[tuple[int, int, int, int]] = []
+            asked = _matrix(part.column("v"), here[0])
+            floors, own, names = (part.column(c).to_pylist() for c in ("floor", "uid", "vec_id"))
             for i in range(0, len(asked), 256):
-                part = asked[i : i + 256].astype(float)
-                up, down = np.maximum(part, 0), np.minimum(part, 0)
+                block = asked[i : i + 256].astype(float)
+                up, down = np.maximum(block, 0), np.minimum(block, 0)
                 bounds = up @ high.T + down @ low.T
                 bounds += 1 + (up @ np.abs(high).T - down @ np.abs(low).T) * 1e-12  # of rounding
-                for j in range(len(part)):
+                for j in range(len(block)):
                     q = i + j
                     floor = -math.inf if floors[q] is None else floors[q]
-                    uid, vec = queries["uid"][q].as_py(), queries["vec_id"][q].as_py()
-                    for score, minus in search(tree, vectors, ids, uids, asked[q], uid, k, bounds[j], floor):
-                        out.append((uid, vec, -minus, score))
-        columns = list(zip(*out, strict=True)) or [[], [], [], []]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("uid", "query_id", "vec_id", "score"), columns, strict=True)})
+                    for score, minus in search(tree, vectors, ids, uids, asked[q], own[q], k, bounds[j], floor):
+                        out.append((own[q], names[q], -minus, score))
+            columns = list(zip(*out, strict=True)) or [[], [], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["uid", "query_id", "vec_id", "score"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("dim", "shard", "asked")], axis=1)
+            edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if a == b:
+                    continue
+                if here != (now := tuple(keys[a, :2].tolist())):
+                    here, held, tree = now, [], None
+                part = batch.slice(a, b - a)
+                if not keys[a, 2]:
+                    held.append((_matrix(part.column("v"), here[0]), *(part.column(c).to_numpy(zero_copy_only=False).copy() for c in ("vec_id", "uid"))))
+                    continue
+                if tree is None and held:
+                    vectors, ids, uids = (np.concatenate(x) for x in zip(*held, strict=True))
+                    held, tree = [], build(vectors)
+                    low, high = tree.low.astype(float), tree.high.astype(float)
+                if tree is not None:
+                    yield answered(part)
 
     return run
 
@@ -141,7 +162,6 @@ def top_k(
     every: int = 100,
     scale: int = 1024,
     shard_rows: int = 8192,
-    block_queries: int = 2048,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row with an id divisible by ``every``."""
     rows = pick(embeddings, vec_id=id_col, raw=vector_col)
@@ -156,23 +176,20 @@ def top_k(
     rows = cut(rows.withColumn("dim", F.size("v")))
     total = rows.count()
     shards = max(1, math.ceil(total / shard_rows))
-    asked = F.col("vec_id") % every == 0
-    blocks = max(1, math.ceil(rows.where(asked).count() / block_queries))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int"))
-    asked_rows = dealt.where(asked).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(blocks)).cast("int"))
-    each_block = F.sequence(F.lit(0), F.lit(blocks - 1))
-    cells = dealt.withColumn("block", F.explode(each_block))
-    keys = ("dim", "shard", "block")
-
-    def searched(queries: DataFrame) -> DataFrame:
-        asked = queries.toDF(*queries.columns)  # columns of its own: both sides come from one table
-        return cells.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_searcher(k), _FOUND)
-
-    home = cut(searched(asked_rows.withColumn("floor", F.lit(None).cast("long"))))
-    floors = home.groupBy("uid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-    away = asked_rows.join(floors, "uid", "left").withColumn("home", F.col("shard"))
-    away = away.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home").drop("home")
-    found = home.unionByName(searched(away)) if shards > 1 else home
+    queries = dealt.where(F.col("vec_id") % every == 0)
+    held = dealt.select("dim", "shard", F.lit(0).alias("asked"), "uid", "vec_id", "v", F.lit(None).cast("long").alias("floor"))
+
+    def searched(sent: DataFrame) -> DataFrame:
+        met = held.unionByName(sent.select("dim", "shard", F.lit(1).alias("asked"), "uid", "vec_id", "v", "floor"))
+        return met.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "asked").mapInArrow(_searcher(k), _FOUND)
+
+    found = cut(searched(queries.withColumn("floor", F.lit(None).cast("long"))))  # in the query's own shard
+    if shards > 1:
+        floors = found.groupBy("uid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+        away = queries.join(floors, "uid", "left").withColumn("home", F.col("shard"))
+        away = away.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
+        found = found.unionByName(searched(away))
 
     order = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
