@@ -74,3 +74,27 @@ def test_identifiers_at_depth_name_equal_strings():
         names = [data[i : i + length].tobytes() for i in range(len(data) - length + 1)]
         assert len(ids) == len(names)
         assert all((ids[i] == ids[j]) == (names[i] == names[j]) for i in range(len(names)) for j in range(i))
+
+
+def test_settled_suffixes_leave_and_names_stay_apart():
+    r = random.Random(5)
+    for _ in range(60):
+        pieces = [bytes(r.choice(b"abc") for _ in range(r.randrange(1, 40))) for _ in range(4)]
+        data = np.frombuffer(b"".join(r.choice(pieces) for _ in range(r.randrange(1, 12))), np.uint8)
+        for length in (3, 9, 24, 37):
+            if len(data) < length:
+                continue
+            ids = suffixes.refine(data, length).tolist()
+            names = [data[i : i + length].tobytes() for i in range(len(data) - length + 1)]
+            assert len(set(zip(ids, names, strict=True))) == len(set(ids)) == len(set(names))
+
+
+def test_very_long_texts(spark):
+    r = random.Random(9)
+    shared = "".join(r.choice("abcdefgh ") for _ in range(1000))
+    text = "".join(r.choice("abcdefgh ") for _ in range(2_000_000))
+    rows = [(1, text[:700_000] + shared + text[700_000:]), (2, shared), (3, "ab" * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"bucket_bytes": 1000}):
+        got = {x[0]: x[1:4] for x in run(df, **options)}
+        assert got == {1: (2_001_000, 1000, 1), 2: (1000, 1000, 1), 3: (600_000, 600_000, 1)}

@@ -8,29 +8,32 @@ judged on the input. The work is split so that no bucket has to hold the corpus:
    window's bytes alone, so equal windows share a bucket wherever they stand. Consecutive
    windows of one bucket are a run; a text has one run for every 180 bytes or so, and only
    runs are shuffled. Buckets with one run that cannot repeat itself are dropped.
-2. *Equal runs.* Runs with equal bytes are counted by their hash (partial sums first, so a
-   group of copies is no hot key). All windows of a run that occurs twice are repeated.
+2. *Equal runs.* Runs with equal bytes are counted by a cryptographic digest of their bytes
+   (BLAKE2b, 128 bits, beside the bucket and the size; partial sums first, so a group of copies
+   is no hot key). All windows of a run that occurs twice are repeated.
 3. *Refinement.* In the buckets that also have runs of their own, one run of each kind is
-   taken with its bytes. Suffixes start in buckets of 8-grams and are refined by sorting on
-   the bucket identifiers at later offsets: the pair of identifiers at i and i + d names the
-   bucket at depth 2d, and the updated identifiers are used again in the next step, up to
-   ``length``. Identifiers are ranks of exact bytes, so no hash decides here.
+   taken with its bytes. Suffixes start in buckets of 8-grams. A step sorts the suffixes of the
+   buckets that still hold more than one by the bucket identifiers at a later offset, which
+   splits these buckets in place; suffixes alone in a bucket are settled and leave, and the next
+   step works recursively on the rest with the updated identifiers, which name twice the
+   bytes. It ends at ``length``. Identifiers stand for exact bytes, so no hash decides here.
 4. *Large buckets.* A bucket whose runs hold over ``bucket_bytes`` is not refined in one
-   task: its windows are counted by a 128-bit hash, with partial sums, over all tasks.
+   task: its windows are counted by the same digest, with partial sums, over all tasks.
 
-Null texts are empty; texts shorter than ``length`` lose nothing unless windows of other
-texts repeat in them, which cannot be. Rows that repeat are texts of their own, so both lose
-what they share. Null ids are allowed.
+Null texts are empty; texts shorter than ``length`` lose nothing, since no window fits in them.
+Rows that repeat are texts of their own, so both lose what they share. Null ids are allowed. An
+empty table gives an empty result. Very long texts are read in segments, whole. Other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from versionlog.llm.common import cut, extended, mix64, prefix_hash, span_hash
@@ -52,8 +55,12 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def runs(data: np.ndarray, length: int, q: int) -> Iterator[tuple[int, int, int, int, bool]]:
-    """(bucket, hash, first window, windows, whether it may repeat itself) of one text's runs."""
+def digest_of(data: bytes) -> bytes:
+    return blake2b(data, digest_size=16).digest()
+
+
+def runs(data: np.ndarray, length: int, q: int) -> Iterator[tuple[int, bytes, int, int, bool]]:
+    """(bucket, digest, first window, windows, whether it may repeat itself) of one text's runs."""
     w = length - q + 1
     for base in range(0, len(data) - length + 1, SEGMENT):
         part = data[base : base + SEGMENT + length - 1]
@@ -69,11 +76,10 @@ def runs(data: np.ndarray, length: int, q: int) -> Iterator[tuple[int, int, int,
         raw, values = part.tobytes(), bucket[first].view(np.int64).tolist()
         for value, a, b in zip(values, first.tolist(), last.tolist(), strict=True):
             own = int(np.count_nonzero(grams[a : b - 1 + w] == bucket[a])) > 1
-            code = xxhash.xxh3_64_intdigest(raw[a : b - 1 + length])
-            yield value, code - (code >> 63 << 64), base + a, b - a, own
+            yield value, digest_of(raw[a : b - 1 + length]), base + a, b - a, own
 
 
-_RUNS = "th long, bucket long, code long, first long, size int, own boolean"
+_RUNS = "th long, bucket long, code binary, first long, size int, own boolean"
 
 
 def _runs_of(docs: DataFrame, length: int, q: int) -> DataFrame:
@@ -89,7 +95,7 @@ def _runs_of(docs: DataFrame, length: int, q: int) -> DataFrame:
                 found += of
             columns = list(zip(*found, strict=True)) or [[]] * 5
             taken = batch.select(["id", "th"]).take(pa.array(row, pa.int64()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.bool_())
             arrays = [*taken.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "th", "bucket", "code", "first", "size", "own"])
 
@@ -97,19 +103,44 @@ def _runs_of(docs: DataFrame, length: int, q: int) -> DataFrame:
 
 
 def refine(data: np.ndarray, length: int) -> np.ndarray:
-    """Bucket identifiers at depth ``length`` of all suffixes of ``data`` that are long enough."""
+    """Bucket identifiers at depth ``length`` of all suffixes of ``data`` that are long enough.
+
+    A bucket is named by a place of its own among the suffixes in order, so the parts of a
+    bucket that is split take names that no other bucket has.
+    """
     depth = min(8, length)
     grams = np.zeros(len(data) - depth + 1, dtype=np.uint64)
     for j in range(depth):
         grams = grams << np.uint64(8) | data[j : j + len(grams)]
-    ids = np.unique(grams, return_inverse=True)[1].astype(np.uint64)
+    order = np.argsort(grams, kind="stable")
+    names, shared = _named(grams[order], np.arange(len(order)))
+    bucket = np.empty(len(grams), dtype=np.int64)
+    bucket[order] = names
+    open_ = order[shared]  # suffixes that share their bucket
     while depth < length:
         step = min(depth, length - depth)
-        later = ids[step:]
-        pair = ids[: len(later)] * np.uint64(int(ids.max()) + 1) + later
-        ids = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
+        open_ = open_[open_ + step < len(bucket)]  # the others are too short for a window
+        if not len(open_):
+            break
+        own, later = bucket[open_], bucket[open_ + step]
+        by = np.lexsort((later, own))
+        open_, own, later = open_[by], own[by], later[by]
+        heads = np.concatenate([[True], own[1:] != own[:-1]])
+        place = np.arange(len(own)) - np.maximum.accumulate(np.where(heads, np.arange(len(own)), 0))
+        split = np.concatenate([[True], (own[1:] != own[:-1]) | (later[1:] != later[:-1])])
+        first = np.maximum.accumulate(np.where(split, np.arange(len(own)), 0))
+        bucket[open_] = own + place[first]  # a part is named by the place of its first suffix
+        ends = np.concatenate([split[1:], [True]])
+        open_ = open_[~(split & ends)]  # a suffix alone in its bucket is settled
         depth += step
-    return ids
+    return bucket[: max(len(data) - length + 1, 0)]
+
+
+def _named(values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted values: the place of the first equal one, and whether there are others."""
+    split = np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]
+    names = np.maximum.accumulate(np.where(split, places, 0)) if len(values) else places
+    return names, ~(split & np.concatenate([split[1:], [True]])[: len(values)])
 
 
 def repeated(texts: list[bytes], sizes: np.ndarray, weights: np.ndarray, length: int) -> list[np.ndarray]:
@@ -119,7 +150,7 @@ def repeated(texts: list[bytes], sizes: np.ndarray, weights: np.ndarray, length:
     starts = ends - [len(t) for t in texts]
     ids = refine(data, length)
     where = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, sizes, strict=True)])
-    names = ids[where].astype(np.int64)
+    names = ids[where]
     twice = np.bincount(names, weights=np.repeat(weights, sizes))[names] >= 2
     return np.split(twice, np.cumsum(sizes)[:-1])
 
@@ -183,16 +214,19 @@ def _counted(parts: DataFrame, length: int) -> DataFrame:
             for i in range(batch.num_rows):
                 data = batch.column("bytes")[i].as_py()
                 n = batch.column("size")[i].as_py()
-                codes = [xxhash.xxh3_128_intdigest(data[a : a + length]) for a in range(n)]
-                pairs = np.array([(c >> 64, c & (1 << 64) - 1) for c in codes], dtype=np.uint64).view(np.int64)
+                codes = pa.array([digest_of(data[a : a + length]) for a in range(n)], pa.binary())
                 taken = batch.select(["id", "th", "bucket", "m"]).take(pa.array([i] * n, pa.int64()))
                 first = pa.array(np.arange(n) + batch.column("first")[i].as_py(), pa.int64())
-                yield pa.RecordBatch.from_arrays([*taken.columns, first, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id", "th", "bucket", "m", "first", "c1", "c2"])
+                yield pa.RecordBatch.from_arrays([*taken.columns, first, codes], names=["id", "th", "bucket", "m", "first", "code"])
 
-    windows = parts.mapInArrow(run, extended(parts.select("id").schema, "th long, bucket long, m long, first long, c1 long, c2 long"))
-    key = ["bucket", "c1", "c2"]
+    windows = parts.mapInArrow(run, extended(parts.select("id").schema, "th long, bucket long, m long, first long, code binary"))
+    key = ["bucket", "code"]
     twice = windows.groupBy(*key).agg(F.sum("m").alias("n")).where("n >= 2").select(*key)
-    return windows.where("m = 1").join(twice, key, "left_semi").select("id", "th", "first", F.lit(1).alias("size"))
+    found = windows.where("m = 1").join(twice, key, "left_semi")
+    # neighbours are one entry, not one for each byte; a text's windows are sorted, never gathered
+    place = F.row_number().over(Window.partitionBy("id", "th").orderBy("first"))
+    found = found.select("id", "th", "first").distinct().withColumn("island", F.col("first") - place)
+    return found.groupBy("id", "th", "island").agg(F.min("first").alias("first"), F.count(F.lit(1)).cast("int").alias("size")).drop("island")
 
 
 def remove_repeats(
@@ -218,7 +252,7 @@ def remove_repeats(
     whole = found.join(kinds.where("m > 1").select(*same), same, "left_semi").select("id", "th", "first", "size")
     size = F.sum(F.col("size") + F.lit(length - 1))
     buckets = kinds.groupBy("bucket").agg(
-        F.max((F.col("m") == 1) & (F.col("own") | F.lit(True))).alias("mixed"), F.count(F.lit(1)).alias("k"), F.max("own").alias("any_own"), size.alias("bytes")
+        F.max(F.col("m") == 1).alias("mixed"), F.count(F.lit(1)).alias("k"), F.max("own").alias("any_own"), size.alias("bytes")
     )
     buckets = buckets.where("mixed and (k > 1 or any_own)")
     buckets = buckets.select("bucket", ((F.col("bytes") > bucket_bytes) | (F.col("k") > bucket_rows)).alias("large"))
