@@ -19,14 +19,13 @@ from versionlog.llm.common import ensure_checkpoint_dir, table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     judged = quality.classify(docs, table(spark, sf_dir, "labels"))
-    kept = judged.where("not rejected").select(F.col("doc_id").alias("__id"), "n_bytes").distinct().hint("shuffle_hash")
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]) & (size == kept["n_bytes"]), "left_semi")
+    kept = judged.where("not rejected").select(F.col("doc_id").alias("__id"), F.col("text_xxh64").alias("__text")).distinct().hint("shuffle_hash")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]) & (F.xxhash64(docs["text"]) == kept["__text"]), "left_semi")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated runs of two or more lines."""
-    deduped = lines.dedup_lines(docs, windows=True).drop("n_lines", "removed")
+    deduped = lines.dedup_lines(docs, windows=True, details=None)
     return deduped.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -37,13 +36,13 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where("n_hit = 0").select(*docs.columns)
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns), names=("__words", "__hit", "__items"))
+    return found.where("__hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents, packed into sequences."""
-    return packing.pack(docs, tokenizer=packing.vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.pack(docs, tokenizer=packing.vocabulary("byte_bpe_50k.json"))
 
 
 STAGES = [

@@ -31,7 +31,7 @@ def test_stages(spark, docs):
     dirty = {x[0] for x in contamination([(i, r.text) for i, r in rows[2].items()], items) if x[-1]}
     assert dirty and set(rows[3]) == set(rows[2]) - dirty
     packed = corpus_pipeline.run(spark, DATA).collect()
-    tokens = {i: len(packing.encode(r.text, packing.vocabulary("byte_bpe_50k.tiktoken"))) + 1 for i, r in rows[3].items()}
+    tokens = {i: len(packing.encode(r.text, packing.vocabulary("byte_bpe_50k.json"))) + 1 for i, r in rows[3].items()}
     assert {r.doc_id: r.doc_tokens for r in packed} == tokens
     assert sum(r.length for r in packed) == sum(tokens.values())
 
