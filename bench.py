@@ -5,8 +5,10 @@ Each query is run once to warm up and timed on the second run, written to Spark'
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
+import random
 import shutil
 import sys
 import tempfile
@@ -38,13 +40,52 @@ def store_figures(spark, folder: str) -> dict[str, float]:
         store.get(b"key000000000000")  # warm
         timed("store_get_flushed_1", lambda: store.get(b"key000000500000"))
         timed("store_get_absent_1", lambda: store.get(b"key000000500000x"))
+        picked = random.Random(1).choices(range(1_000_000), k=20_000)
+        timed("store_get_flushed_20k", lambda: [store.get(b"key%012d" % i) for i in picked])
+        timed("store_get_absent_20k", lambda: [store.get(b"key%012d" % (1_000_000 + i)) for i in picked])
         wanted = spark.range(0, 1_000_000, 50).selectExpr("format_string('key%012d', id) as key").selectExpr("cast(key as binary) as key")
         timed("store_multi_get_20k", lambda: store.multi_get(wanted).write.format("noop").mode("overwrite").save())
         timed("store_scan_limit_10", lambda: store.scan(b"key000000400000", None, 10))
         timed("store_live_view_1m", lambda: store.view().write.format("noop").mode("overwrite").save())
+    after_merge(spark, f"{folder}/merged", timed)
+    mixes(spark, f"{folder}/mixes", timed)
     return found
 
 
+def after_merge(spark, root: str, timed) -> None:
+    """Point reads over what merging eight flushes of 5000 keys leaves."""
+    from versionlog.plans.store import Options, Store
+
+    with Store.open(spark, root, Options(sync_mode="none", flush_threshold_bytes=1 << 30)) as store:
+        for part in range(8):
+            ops = spark.range(5_000).selectExpr("id as op_index", f"format_string('key%012d', id + {part * 5_000}) as key", "repeat('v', 49) as value")
+            store.write_dataframe(ops)
+        timed("store_merge_8x5k", store.flush)
+        timed("store_get_after_merge_413", lambda: [store.get(b"key%012d" % i) for i in range(0, 40_000, 97)])
+
+
+def mixes(spark, root: str, timed) -> None:
+    """YCSB A, B and C: 20000 operations on 20000 flushed keys, uniform and Zipf (s = 1)."""
+    from versionlog.plans.store import Options, Store
+
+    n, r = 20_000, random.Random(7)
+    zipf = list(itertools.accumulate(1 / k for k in range(1, n + 1)))
+    for name, reads in (("a", 0.5), ("b", 0.95), ("c", 1.0)):
+        for kind, weights in (("uniform", None), ("zipf", zipf)):
+            with Store.open(spark, f"{root}-{name}-{kind}", Options(sync_mode="none", flush_threshold_bytes=1 << 30)) as store:
+                store.write_dataframe(spark.range(n).selectExpr("id as op_index", "format_string('key%012d', id) as key", "repeat('v', 49) as value"))
+                steps = [(b"key%012d" % i, r.random() < reads) for i in r.choices(range(n), cum_weights=weights, k=n)]
+
+                def run(steps=steps, store=store):
+                    for key, read in steps:
+                        if read:
+                            store.get(key)
+                        else:
+                            store.put(key, b"w" * 49)
+
+                timed(f"ycsb_{name}_{kind}_20k", run)
+
+
 def main() -> None:
     from pyspark.sql import SparkSession
 

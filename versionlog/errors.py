@@ -13,6 +13,10 @@ class CorruptError(StoreError):
     """Stored bytes do not match their checksum or shape."""
 
 
+class TornError(CorruptError):
+    """A file is shorter than its header says: its writing was cut off."""
+
+
 class BadFormatError(StoreError):
     """A file was written by a format this version does not know."""
 

@@ -8,7 +8,7 @@ tombstones are removed above it, or deleted keys would come back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from versionlog.functions.versions import in_range
@@ -60,13 +60,29 @@ def multi_get(log: DataFrame, wanted: DataFrame, bound: int | None = None, *, ke
     return live(log.join(keys, key, "left_semi"), bound, key=key, seq=seq, value=value)
 
 
-def as_of(log: DataFrame, probes: DataFrame, *, key: str = "key", seq: str = "seq", value: str = "value", bound: str = "bound") -> DataFrame:
-    """Each distinct (key, bound) of ``probes`` with the value visible to it, or null."""
-    asked = probes.select(key, bound).distinct()
-    versions = log.select(F.col(key).alias("__k"), F.col(seq).alias("__s"), F.col(value).alias("__v"))
-    met = asked.join(versions, (F.col(key) == F.col("__k")) & (F.col("__s") < F.col(bound)), "left")
-    top = met.groupBy(key, bound).agg(F.max(F.struct("__s", "__v")).alias("top"))
-    return top.select(key, bound, F.col("top.__v").alias(value))
+def as_of(
+    log: DataFrame, probes: DataFrame, *, key: str = "key", seq: str = "seq", value: str = "value", bound: str = "bound", block: int = 1 << 16
+) -> DataFrame:
+    """Each distinct (key, bound) of ``probes`` with the value visible to it, or null.
+
+    Probes and versions are sorted together, and a probe takes the last version before it. The
+    seqs are dealt into blocks of ``block``, so a hot key is sorted in many tasks; a probe with
+    nothing before it in its block takes the newest version of the blocks before, of which a
+    key has one row for each block.
+    """
+    asked = probes.select(F.col(key).alias("__k"), F.col(bound).alias("__at")).distinct()
+    versions = log.select(F.col(key).alias("__k"), F.col(seq).alias("__at"), F.struct(F.col(seq).alias("s"), F.col(value).alias("v")).alias("__of"))
+    met = asked.select("__k", "__at", F.lit(None).cast(versions.schema["__of"].dataType).alias("__of"), F.lit(0).alias("__is"))
+    met = met.unionByName(versions.withColumn("__is", F.lit(1))).withColumn("__block", F.floor(F.col("__at") / block))  # a version at the bound comes after it
+    here = Window.partitionBy("__k", "__block").orderBy("__at", "__is").rowsBetween(Window.unboundedPreceding, 0)
+    near = met.withColumn("__near", F.last("__of", ignorenulls=True).over(here)).where("__is = 0").select("__k", "__at", "__block", "__near")
+    # of each key one row for a block that holds versions or probes of it
+    tops = met.groupBy("__k", "__block").agg(F.max("__of").alias("__top"))
+    before = Window.partitionBy("__k").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("__k", "__block", F.last("__top", ignorenulls=True).over(before).alias("__far"))
+    same = near["__k"].eqNullSafe(tops["__k"]) & near["__block"].eqNullSafe(tops["__block"])
+    found = near.join(tops, same).select(near["__k"].alias(key), near["__at"].alias(bound), F.coalesce("__near", "__far").alias("__of"))
+    return found.select(key, bound, F.when(F.col(key).isNotNull(), F.col("__of.v")).alias(value))
 
 
 def versions_of(log: DataFrame, wanted: object, *, key: str = "key", seq: str = "seq") -> DataFrame:

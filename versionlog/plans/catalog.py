@@ -11,7 +11,7 @@ from versionlog.functions.versions import encoded_size, size_tier
 from versionlog.operators import retention, visible
 
 COLS = {"key": "k", "seq": "seq", "value": "v"}
-SEGMENT_ROWS = 1250
+SEGMENT_ROWS, BATCH_ROWS = 1250, 100
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +99,13 @@ def _as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visible.as_of(event_log(spark, sf_dir), probes, **COLS)
 
 
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operation that wins on each key of each batch of the log."""
+    of = F.struct(F.floor(F.col("seq") / BATCH_ROWS).cast("long").alias("batch"), "k")
+    won = visible.latest(event_log(spark, sf_dir).withColumn("of", of), key="of", seq="seq", value="v")
+    return won.select("of.batch", "of.k", "seq", "v")
+
+
 _SIZES_SQL = f"""SELECT seg, CAST(sum(17 + length(k) + coalesce(length(v), 0)) AS BIGINT) AS bytes
     FROM (SELECT k, v, seq, CAST(floor(seq / {SEGMENT_ROWS}.0) AS BIGINT) AS seg FROM log) s GROUP BY seg"""
 
@@ -128,8 +135,9 @@ _ALL: dict[str, tuple[Query, str]] = {
         "SELECT k, seq, v FROM log",
     ),
     "kv_batch_last_wins": (
-        lambda s, d: visible.latest(event_log(s, d).where("seq >= 1000"), 1100, **COLS).select("k", "seq", "v"),
-        "SELECT k, seq, v FROM (SELECT k, v, seq, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM log WHERE seq >= 1000 AND seq < 1100) t WHERE rn = 1",
+        _batches,
+        f"""SELECT batch, k, seq, v FROM (SELECT CAST(floor(seq / {BATCH_ROWS}.0) AS BIGINT) AS batch, k, v, seq,
+            row_number() OVER (PARTITION BY floor(seq / {BATCH_ROWS}.0), k ORDER BY seq DESC) AS rn FROM log) t WHERE rn = 1""",
     ),
     "kv_flush_segments": (
         _stats,

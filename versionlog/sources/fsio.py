@@ -1,14 +1,14 @@
-"""The small file interface under a store's metadata, so that faults can be injected.
+"""The small file interface under a store, so that faults can be injected.
 
-Only manifests, commits, the pointer file and the lock go through it. Data files are written
-and read by Spark.
+Manifests, commits, file lists, the pointer file and the lock go through it, and so does all
+syncing, copying and removing of segments. The bytes of data files are written and read by Spark.
 """
 
 from __future__ import annotations
 
 import fcntl
 import os
-from collections.abc import Iterable
+import shutil
 from typing import Protocol
 
 from versionlog.errors import LockedError
@@ -24,7 +24,10 @@ class Fs(Protocol):
     def names(self, path: str) -> list[str]: ...
     def exists(self, path: str) -> bool: ...
     def make(self, path: str) -> None: ...
+    def sync_file(self, path: str) -> None: ...
     def sync_folder(self, path: str) -> None: ...
+    def remove_tree(self, path: str) -> None: ...
+    def copy(self, source: str, target: str) -> None: ...
     def link(self, source: str, target: str) -> None: ...
     def lock(self, path: str) -> object: ...
     def unlock(self, handle: object) -> None: ...
@@ -59,13 +62,22 @@ class StdFs:
     def make(self, path: str) -> None:
         os.makedirs(path, exist_ok=True)
 
-    def sync_folder(self, path: str) -> None:
+    def sync_file(self, path: str) -> None:
         fd = os.open(path, os.O_RDONLY)
         try:
             os.fsync(fd)
         finally:
             os.close(fd)
 
+    def sync_folder(self, path: str) -> None:
+        self.sync_file(path)
+
+    def remove_tree(self, path: str) -> None:
+        shutil.rmtree(path, ignore_errors=True)
+
+    def copy(self, source: str, target: str) -> None:
+        shutil.copy2(source, target)
+
     def link(self, source: str, target: str) -> None:
         os.link(source, target)
 
@@ -99,7 +111,9 @@ def put_in_place(fs: Fs, path: str, data: bytes, sync: bool) -> None:
         fs.sync_folder(os.path.dirname(path))
 
 
-def remove_all(fs: Fs, paths: Iterable[str]) -> None:
-    for path in paths:
-        if fs.exists(path):
-            fs.remove(path)
+def sync_all(fs: Fs, folder: str) -> None:
+    """The files of a flat folder, then the folder, then its entry in the folder above."""
+    for name in fs.names(folder):
+        fs.sync_file(f"{folder}/{name}")
+    fs.sync_folder(folder)
+    fs.sync_folder(os.path.dirname(folder))

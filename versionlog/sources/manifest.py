@@ -42,6 +42,7 @@ class Manifest:
     next_seq: int = 0
     flushed_seq: int = 0
     segments: tuple[Segment, ...] = ()
+    last_commit: int = -1  # first seq of the last commit before this version, so that a lost one is seen
     streams: dict[str, int] = field(default_factory=dict)
 
     def following(self, **changes: object) -> Manifest:
