@@ -64,3 +64,10 @@ def test_one_very_long_conversation_repeated_rows_and_empty_table(spark):
     out = chat.digest(chat.format_chats(chat.events(rows))).collect()
     assert len(out) == 1 and out[0].n_turns == 30_000 and out[0].loss_chars == 4 * 15_000
     assert chat.digest(chat.format_chats(chat.events(rows.limit(0)))).collect() == []
+
+
+def test_clashing_names_and_very_long_texts(spark):
+    rows = [(1, 0, "user", "q", "x", 7), (1, 1, "assistant", "<|im_end|>" * 400_000, "y", 8), (None, 0, "user", None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, seq int")
+    got = {r.conv_id: r for r in chat.digest(chat.format_chats(chat.events(df))).collect()}
+    assert got[1].n_turns == 2 and got[1].loss_chars == 4_000_000 and got[None].n_turns == 1

@@ -132,3 +132,27 @@ def test_contracted_links_have_the_same_classes(spark):
     assert {x.node: x.root for x in components(few).collect()} == {x.node: x.root for x in components(df).collect()}
     hub = [(a, b) for b in range(50, 400) for a in range(0, 50, 7)]  # each member with all representatives
     assert neardup.contracted(spark.createDataFrame(hub, "a long, b long")).count() <= 350 + 8
+
+
+@pytest.mark.parametrize("limit", [2048, 2, 8, 16])
+def test_planted_near_copies_are_found(spark, limit):
+    """Two texts each, of a similarity from 0.8 on, at any length of lists that are split."""
+    r = random.Random(17)
+    rows = []
+    while len(rows) < 300:
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(80, 400))]
+        pair = [" ".join(words), edited(r, words, r.randrange(1, 1 + len(words) // 30))]
+        a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in pair)
+        if len(a & b) >= 0.8 * len(a | b):
+            rows += [(len(rows) + i, t) for i, t in enumerate(pair)]
+    got = {x.id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), list_limit=limit).collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, 300, 2)) >= 0.98 * 150
+    assert len(set(got.values())) >= 150
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    r = random.Random(1)
+    words = [f"w{r.randrange(10**6)}" for _ in range(400_000)]
+    rows = [(1, " ".join(words), 5, "x"), (2, edited(r, words, 100), 6, "y"), (3, " ".join(words[:1000]), 7, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest int, component_id string")
+    assert [(x.doc_id, x.digest, x.component_id) for x in neardup.keep_one(df).orderBy("doc_id").collect()] == [(1, 5, "x"), (3, 7, "z")]

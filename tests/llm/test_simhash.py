@@ -103,3 +103,20 @@ def test_components_of_paths_stars_and_loops(spark):
 
 def test_empty_table(nothing):
     assert simhash.digest(simhash.near_duplicates(nothing)).collect() == []
+
+
+def test_very_long_texts(spark):
+    text = " ".join(f"word{i % 1000}" for i in range(300_000))
+    df = spark.createDataFrame([(1, text), (2, text + " end"), (3, "x" * 3_000_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in simhash.digest(simhash.near_duplicates(df)).collect()}
+    assert got[1].fingerprint == f"{slow_print(text):016x}" and got[2].component_id == 1 and got[3].component_id == 3
+
+
+def test_count_filter_and_bits_agree_with_plain_counts():
+    g = np.random.default_rng(2)
+    x = g.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    y = x ^ np.bitwise_or.reduce(np.uint64(1) << g.integers(0, 64, (3000, 4)).astype(np.uint64), axis=1)
+    plain = [sum((a >> 8 * i & 255) == (b >> 8 * i & 255) for i in range(8)) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+    assert simhash.shared_bytes(x ^ y).tolist() == plain
+    want = [i for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)) if plain[i] >= 5 and (a ^ b).bit_count() <= 3]
+    assert simhash._within(x, y, 3, 5).tolist() == want

@@ -14,7 +14,8 @@ sorted rows as a stream, so a partition never has to fit in memory; one conversa
 rendered text does. Null text is empty, a null role is an empty role, a null kind is
 ``message``. A null conversation id is a conversation of its own. Events with equal ``seq``
 are ordered by kind, role and text; a repeated row is a repeated event. An edit of a message
-that does not exist is ignored.
+that does not exist is ignored. An empty log gives nothing; texts of any length are kept whole;
+other columns of the input are not read, whatever their names.
 
 Template: ``<|im_start|>`` role ``\\n`` text ``<|im_end|>\\n``. In roles and texts each
 backslash is doubled and ``<|`` becomes ``<\\|``, so no text can hold a mark, and the

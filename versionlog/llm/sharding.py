@@ -8,7 +8,8 @@ computed without the data, slots are gapless and shard sizes differ by one at mo
 
 The result depends only on the set of rows, the seed and the number of shards. Null texts
 count as empty; rows that are equal in id, size and checksum are interchangeable, and each
-gets its own place.
+gets its own place. Null ids come first. An empty table gives an empty result. Of a text, however
+long, only size and checksum are shuffled; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
