@@ -112,7 +112,7 @@ def refine(data: np.ndarray, length: int) -> np.ndarray:
     grams = np.zeros(len(data) - depth + 1, dtype=np.uint64)
     for j in range(depth):
         grams = grams << np.uint64(8) | data[j : j + len(grams)]
-    order = np.argsort(grams, kind="stable")
+    order = np.argsort(grams)
     names, shared = _named(grams[order], np.arange(len(order)))
     bucket = np.empty(len(grams), dtype=np.int64)
     bucket[order] = names
@@ -122,16 +122,15 @@ def refine(data: np.ndarray, length: int) -> np.ndarray:
         open_ = open_[open_ + step < len(bucket)]  # the others are too short for a window
         if not len(open_):
             break
-        own, later = bucket[open_], bucket[open_ + step]
-        by = np.lexsort((later, own))
-        open_, own, later = open_[by], own[by], later[by]
-        heads = np.concatenate([[True], own[1:] != own[:-1]])
-        place = np.arange(len(own)) - np.maximum.accumulate(np.where(heads, np.arange(len(own)), 0))
-        split = np.concatenate([[True], (own[1:] != own[:-1]) | (later[1:] != later[:-1])])
-        first = np.maximum.accumulate(np.where(split, np.arange(len(own)), 0))
-        bucket[open_] = own + place[first]  # a part is named by the place of its first suffix
-        ends = np.concatenate([split[1:], [True]])
-        open_ = open_[~(split & ends)]  # a suffix alone in its bucket is settled
+        own = bucket[open_]
+        pair = own.astype(np.uint64) * np.uint64(len(bucket)) + bucket[open_ + step].astype(np.uint64)
+        by = np.argsort(pair)
+        open_, own = open_[by], own[by]
+        places = np.arange(len(own))
+        heads, _ = _named(own, places)
+        firsts, shared = _named(pair[by], places)
+        bucket[open_] = own + (firsts - heads)  # a part is named by the place of its first suffix
+        open_ = open_[shared]  # a suffix alone in its bucket is settled
         depth += step
     return bucket[: max(len(data) - length + 1, 0)]
 
