@@ -77,6 +77,8 @@ def test_grams_in_pieces(monkeypatch):
     parts = list(quality._pieces(data, offsets, 5))
     assert np.array_equal(np.concatenate([g for _, g in parts]), whole)
     assert [a for a, _ in parts] == list(range(0, 50, 7))
+    for found, want in zip(quality.counted(data, offsets, 5), np.unique(whole, return_counts=True), strict=True):
+        assert np.array_equal(found, want)
 
 
 def test_junk_is_rejected_and_clean_text_stays(spark):

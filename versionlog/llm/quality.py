@@ -41,7 +41,8 @@ from versionlog.llm.common import cut, extended, mix64, text_slices
 U64 = np.uint64
 #: Logs of probabilities are kept as multiples of 1 / SCALE nats, in 16 bits.
 SCALE = 2048
-BLOCK = 4 << 20
+#: Bytes of text that are asked about at once, and of which n-grams are formed at once.
+BLOCK, PIECE = 4 << 20, 1 << 20
 
 
 def grams_of(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
@@ -61,9 +62,10 @@ def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(first byte, n-grams) of at most BLOCK bytes at a time, so that one very long text stays bounded."""
-    for a in range(0, len(data), BLOCK):
-        b = min(a + BLOCK, len(data))
+    """(first byte, n-grams) of at most PIECE bytes at a time, so that memory stays bounded."""
+    size = min(PIECE, BLOCK)
+    for a in range(0, len(data), size):
+        b = min(a + size, len(data))
         start = max(0, a - order + 1)
         inner = offsets[(offsets > start) & (offsets < b)] - start
         yield a, grams_of(data[start:b], np.concatenate([[0], inner, [b - start]]), order)[a - start :]
@@ -74,6 +76,20 @@ def distinct(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts or [np.zeros(0, np.uint64)]))
 
 
+def counted(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams and how often each occurs."""
+    parts = [np.unique(g, return_counts=True) for _, g in _pieces(data, offsets, order)]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if len(parts) == 1:
+        return parts[0]
+    grams, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    by = np.argsort(grams)
+    grams = grams[by]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return grams[first], np.add.reduceat(counts[by], first)
+
+
 @dataclass
 class Discounts:
     """Modified Kneser-Ney discounts of one order."""
@@ -142,9 +158,8 @@ def fit(trusted: DataFrame, *, text_col: str = "text", order: int = 5) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in text_slices(batch, "text", BLOCK):
-                for _, found in _pieces(data, offsets, order):
-                    grams, n = np.unique(found, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], names=["gram", "n"])
+                grams, n = counted(data, offsets, order)
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
     texts = trusted.select(F.col(f"`{text_col}`").alias("text"))
     level = texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
