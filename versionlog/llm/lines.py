@@ -83,7 +83,7 @@ def dedup_lines(
     reach: int = REACH,
     least_lines: int = LEAST_LINES,
     windows: bool = False,
-    broadcast_rows: int = 1 << 18,
+    broadcast_rows: int = 1 << 20,
     details: tuple[str, str] | None = ("n_lines", "removed"),
 ) -> DataFrame:
     """``docs`` with the text replaced, and the two columns that ``details`` names.
@@ -101,11 +101,12 @@ def dedup_lines(
     each = cut(
         each.select("__id", "__th", F.col("c.at").alias("at"), F.size("c.lines").alias("n"), F.xxhash64(F.array_join("c.lines", "\n")).alias("code"))
     )
-    codes = each.groupBy("code").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("code")
+    codes = cut(each.groupBy("code").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("code"))  # so that the join can split a common one
     hits = each.join(codes, "code", "left_semi")
     # 2. the lines of those whose hash occurs more than once, from the texts that hold any
     asked = cut(hits.groupBy(F.col("__id").alias("a_id"), F.col("__th").alias("a_th")).agg(F.collect_set(F.struct("at", "n", "code")).alias("asked")))
-    asked = F.broadcast(asked) if asked.count() <= broadcast_rows else asked.hint("shuffle_hash")  # a row for each text
+    held = asked.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("asked")), F.lit(0))).first()[0]  # texts and chunks, some 40 bytes each
+    asked = F.broadcast(asked) if held <= broadcast_rows else asked.hint("shuffle_hash")
     held = rows.join(asked, rows["__id"].eqNullSafe(asked["a_id"]) & (rows["__th"] == asked["a_th"]))
 
     def with_lines(lines: Column) -> Column:  # the text is split once
