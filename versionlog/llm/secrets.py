@@ -181,7 +181,8 @@ def scan(
     known = entries
     if ledger is not None:
         known = entries.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob", "rule_version", "findings"))
-    hits = known.where(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias("findings"))  # equal for one pair
+    # one row for each blob (entries of one pair are equal); written, so that the join below can split a blob with very many paths
+    hits = cut(known.where(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias("findings")))
     rows = paths.join(hits, "blob", "left").select(
         F.col("__id").alias(id_col), "blob", F.coalesce("findings", F.array().cast(_FINDINGS)).alias("findings")
     )
