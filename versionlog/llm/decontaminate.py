@@ -284,21 +284,20 @@ def _by_join(rows: DataFrame, items: DataFrame, kept: list[str], window: int, k:
     shared = rows.sparkSession.sparkContext.broadcast(screen)
     ours = tagged.select("__row", "__text").mapInArrow(prints_of("__row", "__text", lengths, shared), "__row long, length int, mark long")
     pairs = ours.join(theirs, ["length", "mark"]).select("__row", "item").distinct().join(items, "item")
-    schema = extended(tagged.drop("__text", "__row").schema, _ddl(names))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        prints = Fingerprints(window, k).add(list(zip(right["item"].to_pylist(), right["words"].to_pylist(), strict=True)))
-        parts = [pa.table({c: left[c] for c in kept})]
-        texts = left.select(["__text"]).combine_chunks().to_batches()[0] if left.num_rows else None
-        if texts is None:
-            n_words, n_hit, found = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-        else:
-            n_words, n_hit, found = _measure(texts, "__text", prints)
-        for name, column in zip(names, (pa.array(n_words), pa.array(n_hit), pa.array(found, type=pa.list_(pa.string()))), strict=True):
-            parts[0] = parts[0].append_column(name, column)
-        return parts[0]
-
-    return tagged.groupBy("__row").cogroup(pairs.groupBy("__row")).applyInArrow(run, schema)
+    met = pairs.groupBy("__row").agg(F.collect_list(F.struct("item", "words")).alias("__met")).withColumnRenamed("__row", "__of")
+    held = tagged.join(met, F.col("__row") == F.col("__of"), "left").drop("__row", "__of")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, n_hit, found = _measure(batch, "__text", Fingerprints(window, k))  # the words of all texts at once
+            for i in np.flatnonzero(batch.column("__met").is_valid().to_numpy(zero_copy_only=False)).tolist():
+                prints = Fingerprints(window, k).add([(m["item"], m["words"]) for m in batch.column("__met")[i].as_py()])
+                _, hit, (found[i],) = _measure(batch.slice(i, 1), "__text", prints)
+                n_hit[i] = hit[0]
+            arrays = [*(batch.column(c) for c in kept), pa.array(n_words), pa.array(n_hit), pa.array(found, type=pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *names])
+
+    return held.mapInArrow(run, extended(held.drop("__text", "__met").schema, _ddl(names)))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
