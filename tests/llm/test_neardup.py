@@ -113,6 +113,20 @@ def test_large_groups_keep_all_links(spark):
         assert len({(of[i], got[i]) for i in range(len(rows))}) == len(set(of))
 
 
+def test_a_joined_group_is_not_dealt_in_pairs(spark):
+    """Blocks of one label alone never meet; every other two sets of near sizes do."""
+    rows = [(i, 0, 5 if i < 1000 else 6, 0, 80) for i in range(1200)]  # one label, two classes
+    rows += [(2000 + i, 0, 5, 2000 + i, 80) for i in range(9)] + [(3000 + i, 1, 5, 3000, 80) for i in range(400)]
+    sets = spark.createDataFrame(rows, "node long, root long, class long, label long, bytes long")
+    placed, tasks = neardup.dealt(sets, 100, 1 << 20)
+    block, pairs = {r.node: r.block for r in placed.collect()}, {(r.x, r.y) for r in tasks.collect()}
+    assert len(block) == len(rows) and len(pairs) <= 1 + 1000 // 50 + 200 // 50
+    for n, root, kind, label, _ in rows:
+        for i in range(9):
+            if root == 0 and label != 2000 + i:
+                assert {(block[n], block[2000 + i]), (block[2000 + i], block[n])} & pairs
+
+
 def test_long_lists_compare_all_pairs(spark):
     g = np.random.default_rng(9)
     prints = g.integers(0, 1 << 63, 150, dtype=np.uint64) >> np.uint64(24) << np.uint64(24) | np.uint64(0x123456)

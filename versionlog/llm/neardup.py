@@ -14,8 +14,9 @@ Two texts are linked if their sets of word shingles (five words) have a Jaccard
    verified exactly. A group of over ``group_limit`` texts or ``group_bytes`` of shingles is
    split into blocks of about half that size, and each two blocks meet in a task of their own, so
    all pairs are verified and no task holds a group of unbounded size. Texts without enough
-   shared shingles for any link are left out first, sizes too far apart never meet, and pairs
-   that links of step 2 join already are skipped.
+   shared shingles for any link are left out first, sizes too far apart never meet, and what
+   links of step 2 join already is skipped: pairs in a task, and the meetings of blocks that
+   hold nothing else.
 
 With eight fingerprints a pair of similarity 0.8 shares a list with a probability of 0.98,
 and closer pairs more often. A list of over ``list_limit`` members is dealt into blocks of about
@@ -30,7 +31,7 @@ from __future__ import annotations
 
 import math
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -200,39 +201,42 @@ def block_links(sets: DataFrame, known: DataFrame, similarity: float, group_limi
     # classes of sizes: similar sets are of one class or of two next to each other
     width = max(-1.01 * math.log(similarity), 0.01)
     labelled = cut(labelled.select("node", "root", "shingles", F.coalesce("label", "node").alias("label"), F.floor(F.log(size) / width).alias("class")))
-    half = F.greatest(F.count(F.lit(1)) / (group_limit / 2), F.sum(F.length("shingles")) / (group_bytes / 2))
-    blocks = cut(labelled.groupBy("root", "class").agg(F.ceil(half).alias("k")))
-
-    def beside(step: int, name: str) -> DataFrame:
-        return blocks.select(F.col("root"), (F.col("class") - step).alias("class"), F.col("k").alias(name))
-
-    blocks = blocks.join(beside(1, "above"), ["root", "class"], "left").join(beside(-1, "below"), ["root", "class"], "left")
-    placed = labelled.join(blocks, ["root", "class"]).withColumn("no", F.pmod(F.xxhash64("node"), "k"))
-
-    def tasks(count: str, make: Callable[[F.Column], F.Column]) -> F.Column:
-        return F.when(F.col(count).isNull(), F.array().cast("array<struct<at:bigint,x:bigint,y:bigint,side:bigint>>")).otherwise(
-            F.transform(F.sequence(F.lit(0).cast("long"), F.col(count) - 1), make)
-        )
-
-    def task(at: F.Column, x: F.Column, y: F.Column, side: F.Column) -> F.Column:
-        return F.struct(at.cast("long").alias("at"), x.cast("long").alias("x"), y.cast("long").alias("y"), side.cast("long").alias("side"))
-
-    no, kind = F.col("no"), F.col("class")
-    every = F.concat(  # two blocks of one class, or one of each of two classes
-        tasks("k", lambda j: task(kind * 2, F.least(no, j), F.greatest(no, j), no)),
-        tasks("above", lambda j: task(kind * 2 + 1, no, j, F.lit(0))),
-        tasks("below", lambda j: task(kind * 2 - 1, j, no, F.lit(1))),
-    )
-    met = placed.select("node", "root", "shingles", "label", F.explode(every).alias("task")).select("node", "root", "shingles", "label", "task.*")
+    placed, tasks = dealt(labelled.withColumn("bytes", F.length("shingles")).drop("shingles"), group_limit, group_bytes)
+    sides = tasks.select(F.col("x").alias("block"), "x", "y", F.lit(0).alias("side"))
+    sides = sides.unionByName(tasks.where("x <> y").select(F.col("y").alias("block"), "x", "y", F.lit(1).alias("side")))
+    met = placed.join(sides, "block").join(labelled.select("node", "shingles", "label"), "node")
 
     def check(group: pa.Table) -> pa.Table:
         names, side = group["node"].to_numpy(), group["side"].to_numpy()
         held = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
-        inner = group["at"][0].as_py() % 2 == 0 and group["x"][0] == group["y"][0]
+        inner = group["x"][0] == group["y"][0]
         links = np.array(verified(held, similarity, group["label"].to_numpy(), None if inner else side), dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(names[links[:, 0]], pa.int64()), "b": pa.array(names[links[:, 1]], pa.int64())})
 
-    return met.groupBy("root", "at", "x", "y").applyInArrow(check, "a long, b long")
+    return met.groupBy("x", "y").applyInArrow(check, "a long, b long")
+
+
+def dealt(sets: DataFrame, group_limit: int, group_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(node, block) of every set, and (x, y) of every two blocks that have to meet, x = y for one alone.
+
+    ``sets`` has node, root, class, label and bytes. A label that fills a block has blocks of its
+    own, and these never meet each other: a group that links have joined but for a few sets
+    costs these few against the rest, not the square of its blocks.
+    """
+    fill = F.greatest(F.col("n") / (group_limit / 2), F.col("bytes") / (group_bytes / 2))
+    kinds = sets.groupBy("root", "class", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    kinds = cut(kinds.withColumn("owner", F.when(fill >= 1, F.col("label")).otherwise(-1)))  # nodes are not negative
+    shares = kinds.groupBy("root", "class", "owner").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    shares = cut(shares.select("root", "class", "owner", F.ceil(fill).alias("k")))
+    blocks = shares.select("root", "class", "owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("no"))
+    blocks = cut(blocks.withColumn("block", F.monotonically_increasing_id()))
+    of = kinds.join(shares, ["root", "class", "owner"]).select("root", "class", "label", "owner", "k")
+    placed = sets.join(of, ["root", "class", "label"]).withColumn("no", F.pmod(F.xxhash64("node"), "k"))
+    placed = placed.join(blocks, ["root", "class", "owner", "no"]).select("node", "block")
+    step = blocks.select("root", "owner", F.col("block").alias("x"), F.posexplode(F.array("class", F.col("class") + 1)).alias("up", "class"))
+    other = blocks.select("root", "class", F.col("owner").alias("owner_"), F.col("block").alias("y"))
+    tasks = step.join(other, ["root", "class"]).where("(up = 1 or x <= y) and (owner = -1 or owner <> owner_)")
+    return placed, cut(tasks.select("x", "y"))
 
 
 def near_duplicates(
