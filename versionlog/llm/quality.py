@@ -4,7 +4,9 @@ The model is over the bytes of UTF-8 texts, of order 5 unless told otherwise, an
 on all trusted text but a fifth of the trusted documents. That fifth (by a hash of the id)
 sets the thresholds: for each language a quantile of its perplexities. A document is
 rejected if its perplexity is above its language's threshold; for this, a short text's
-perplexity is drawn towards the mean of its language.
+perplexity is drawn towards the mean of its language. Apart from that, a document is marked as
+toxic if it holds a word that tells toxic texts (``toxic.py``): a mean over all bytes cannot show
+a few insults in a long text.
 
 Counts are sharded by the two bytes before the last byte of an n-gram. An n-gram of order 5,
 its context, and the n-grams and contexts of orders 4 and 3 that it backs off to all hold
@@ -36,6 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from versionlog.llm import toxic
 from versionlog.llm.common import cut, extended, mix64, text_slices
 
 U64 = np.uint64
@@ -298,7 +301,6 @@ def score(
             raise RuntimeError("answers without a block: the input gave other rows the second time")
         return pa.concat_tables(out)
 
-    asked = rows.mapInArrow(ask, "block long, shard int, salt long, asked binary")
     cd = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
     table = spark.createDataFrame(
         [(i, int(s)) for i, s in enumerate(shard_of(np.arange(1 << 16, dtype=np.uint64) << U64(8), shards))], "cd int, shard int"
@@ -344,6 +346,7 @@ def classify(
     text_col: str = "text",
     lang_col: str = "lang",
     label_col: str = "quality",
+    toxic_col: str = "toxic",
     order: int = 5,
     quantile: float = 0.995,
     margin: float = 0.1,
@@ -351,10 +354,11 @@ def classify(
     held_out: int = 5,
     broadcast_rows: int = 1 << 20,
 ) -> DataFrame:
-    """id, lang, n_bytes, text_xxh64, perplexity, threshold and rejected of every row.
+    """id, lang, n_bytes, text_xxh64, perplexity, threshold, rejected and toxic of every row.
 
     Trusted are the documents whose label is 1. One in ``held_out`` of them sets the
     thresholds and is not counted; with too few trusted documents to set any aside, all do both.
+    ``rejected`` is the verdict of the perplexity alone, ``toxic`` that of the words learned from ``toxic_col``.
     """
     trusted = cut(labels.where(F.col(f"`{label_col}`") == 1).select(F.col(f"`{id_col}`").alias("__t")).where("__t is not null").distinct())
     n = trusted.count()
@@ -370,6 +374,14 @@ def classify(
     scored = cut(score(docs, model, id_col=id_col, text_col=text_col, lang_col=lang_col))
     limits = thresholds(among(scored, outer, "id"), quantile, margin, prior_bytes)
     marked = scored.join(F.broadcast(limits.withColumnRenamed("lang", "__lang")), F.col("lang").eqNullSafe(F.col("__lang")), "left")  # a row for each language
+    found = None
+    if toxic_col in labels.columns:
+        found = toxic.holders(docs, toxic.lexicon(docs, labels, id_col=id_col, text_col=text_col, label_col=toxic_col), id_col=id_col, text_col=text_col)
+    if found is None:
+        marked = marked.withColumn("toxic", F.lit(False))
+    else:
+        found = found.select(F.col("id").alias("__i"), F.col("th").alias("__h"))
+        marked = marked.join(found, F.col("id").eqNullSafe(F.col("__i")) & (F.col("th") == F.col("__h")), "left").withColumn("toxic", F.col("__h").isNotNull())
     own = F.when(F.col("n_bytes") > 0, F.col("cost") / F.col("n_bytes") / SCALE)
     judged = F.when(F.col("n_bytes") > 0, _adjusted(prior_bytes))
     return marked.select(
@@ -380,5 +392,6 @@ def classify(
         F.exp(own).alias("perplexity"),
         F.exp("limit").alias("threshold"),
         F.coalesce(judged > F.col("limit"), F.lit(False)).alias("rejected"),
+        "toxic",
     )
 
