@@ -17,9 +17,9 @@ from versionlog.llm.common import ensure_checkpoint_dir, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier neither rejects nor marks as toxic."""
     judged = quality.classify(docs, table(spark, sf_dir, "labels"))
-    kept = judged.where("not rejected").select(F.col("doc_id").alias("__id"), F.col("text_xxh64").alias("__text")).distinct().hint("shuffle_hash")
+    kept = judged.where("not rejected and not toxic").select(F.col("doc_id").alias("__id"), F.col("text_xxh64").alias("__text")).distinct().hint("shuffle_hash")
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]) & (F.xxhash64(docs["text"]) == kept["__text"]), "left_semi")
 
 
